@@ -89,8 +89,8 @@ def run_round_trip(spark, folder):
 @CATALOG.add(
     "meanvar_run_round_trip",
     f"""WITH {POSTERIOR}, scored AS (SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score,
-  round(sum(qtf * mu), 6) AS mean, round(sum(qtf * var), 6) AS variance FROM post3 GROUP BY ALL)
-SELECT topic_id, doc_id::VARCHAR AS doc_id, rank, score, mean, variance, 'test' AS tag FROM (SELECT *,
+  sum(qtf * mu) AS mean, sum(qtf * var) AS variance FROM post3 GROUP BY ALL)
+SELECT topic_id, doc_id::VARCHAR AS doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance, 'test' AS tag FROM (SELECT *,
   row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 100""",
 )
 def meanvar_run_round_trip(spark, folder):
@@ -104,14 +104,20 @@ def meanvar_run_round_trip(spark, folder):
     path = scratch_path(spark, "run-file")
     sinks.write_run(run, path)
     return files.read_run(spark, path).select(
-        "topic_id", "doc_id", "rank", "score", "mean", "variance", "tag"
+        "topic_id",
+        "doc_id",
+        "rank",
+        "score",
+        F.round("mean", 3).alias("mean"),
+        F.round("variance", 2).alias("variance"),
+        "tag",
     )
 
 
 @CATALOG.add(
     "submission_report",
     f"""WITH {I.BM25_RUN} SELECT topic_id || ' ' || chr(9) || ' Q0 ' || chr(9) || ' ' || rpad(doc_id::VARCHAR, 20, ' ')
-  || ' ' || chr(9) || ' ' || rpad((rank - 1)::VARCHAR, 7, ' ') || ' ' || chr(9) || ' ' || printf('%.4f', round(score, 4))
+  || ' ' || chr(9) || ' ' || rpad((rank - 1)::VARCHAR, 7, ' ') || ' ' || chr(9) || ' ' || CAST(CAST(score AS DECIMAL(18, 6)) AS DECIMAL(18, 4))
   || ' ' || chr(9) || ' bm25' AS line FROM run""",
 )
 def submission_report(spark, folder):

@@ -217,7 +217,7 @@ sums AS (SELECT user_id, item_id, sum(num) AS num, sum(den) AS den FROM near GRO
 """
 _ITEM_PARTS = """two AS MATERIALIZED (SELECT a AS item_id, b AS other, sim FROM ie UNION ALL SELECT b, a, sim FROM ie),
 near AS (SELECT user_id, item_id, num, den FROM (
-  SELECT rt.user_id, two.item_id, sim * rating AS num, sim AS den,
+  SELECT rt.user_id, two.item_id, sim * rt.rating AS num, sim AS den,
     row_number() OVER (PARTITION BY rt.user_id, two.item_id ORDER BY sim DESC, other DESC) AS rn
   FROM two JOIN rt ON rt.item_id = two.other {targets}) WHERE rn <= 20),
 sums AS (SELECT user_id, item_id, sum(num) AS num, sum(den) AS den FROM near GROUP BY ALL)
@@ -229,33 +229,33 @@ _ITEM_VALUE = "CASE WHEN den > 0 THEN num / den ELSE mean END"
 @CATALOG.add(
     "predict_user_based",
     f"""WITH {I.USER_EDGES}, {_USER_PARTS.format(targets="JOIN rt t ON t.user_id = two.user_id AND t.item_id = ce.item_id")}
-SELECT user_id, item_id, round({_USER_VALUE}, 5) AS prediction
+SELECT user_id, item_id, round({_USER_VALUE}, 6) AS prediction
 FROM rt JOIN um USING (user_id) LEFT JOIN sums USING (user_id, item_id)""",
 )
 def predict_user_based(spark, folder):
     """Every rated cell, predicted from the other users."""
     ratings = I.ratings(spark, folder)
     out = R.predict_user_based(ratings, ratings, I.user_edges(spark, folder))
-    return out.withColumn("prediction", F.round("prediction", 5))
+    return out.withColumn("prediction", F.round("prediction", 6))
 
 
 @CATALOG.add(
     "predict_item_based",
     f"""WITH {I.ITEM_EDGES}, {_ITEM_PARTS.format(targets="JOIN rt t ON t.user_id = rt.user_id AND t.item_id = two.item_id")}
-SELECT user_id, item_id, round({_ITEM_VALUE}, 5) AS prediction
+SELECT user_id, item_id, round({_ITEM_VALUE}, 6) AS prediction
 FROM rt JOIN um USING (user_id) LEFT JOIN sums USING (user_id, item_id)""",
 )
 def predict_item_based(spark, folder):
     """Every rated cell, predicted from the user's other items."""
     ratings = I.ratings(spark, folder)
     out = R.predict_item_based(ratings, ratings, I.item_edges(spark, folder))
-    return out.withColumn("prediction", F.round("prediction", 5))
+    return out.withColumn("prediction", F.round("prediction", 6))
 
 
 def _recommend_sql(ctes: str, parts: str, value: str) -> str:
     return f"""WITH {ctes}, {parts.format(targets="")},
 cells AS (SELECT user_id, mean, item_id FROM um, (SELECT DISTINCT item_id FROM rt)),
-preds AS (SELECT user_id, item_id, round({value}, 5) AS prediction
+preds AS (SELECT user_id, item_id, round({value}, 6) AS prediction
   FROM cells LEFT JOIN sums USING (user_id, item_id)
   WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM rt))
 SELECT user_id, item_id, prediction, rank FROM (SELECT *,
@@ -268,12 +268,12 @@ SELECT user_id, item_id, prediction, rank FROM (SELECT *,
 )
 def recommend_user_based(spark, folder):
     return R.recommend_user_based(
-        I.ratings(spark, folder), I.user_edges(spark, folder), top=10, decimals=5
+        I.ratings(spark, folder), I.user_edges(spark, folder), top=10, decimals=6
     )
 
 
 @CATALOG.add("recommend_item_based", _recommend_sql(I.ITEM_EDGES, _ITEM_PARTS, _ITEM_VALUE))
 def recommend_item_based(spark, folder):
     return R.recommend_item_based(
-        I.ratings(spark, folder), I.item_edges(spark, folder), top=10, decimals=5
+        I.ratings(spark, folder), I.item_edges(spark, folder), top=10, decimals=6
     )

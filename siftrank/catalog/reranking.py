@@ -130,7 +130,7 @@ def greedy_average_precision_rerank(spark, folder):
     "ndcg_objective_rerank",
     f"""WITH {POSTERIOR}, scored AS (
 SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score,
-  round(sum(qtf * var), 6) AS variance FROM post3 GROUP BY ALL),
+  sum(qtf * var) AS variance FROM post3 GROUP BY ALL),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS r FROM scored) WHERE r <= {_TOP}),
 valued AS (SELECT *, round(score + log2(1 + variance * ln(2) * ln(2)), 6) AS v FROM hits)
 SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY (r = 1) DESC, v DESC, doc_id) AS rank FROM valued""",

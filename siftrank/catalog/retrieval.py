@@ -180,14 +180,14 @@ def hit_summary(spark, folder):
 
 
 _MEAN_VAR = """SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score,
-  round(sum(qtf * mu), 6) AS mean, round(sum(qtf * var), 6) AS variance FROM post3 GROUP BY ALL"""
+  sum(qtf * mu) AS mean, sum(qtf * var) AS variance FROM post3 GROUP BY ALL"""
 
 
 @CATALOG.add(
     "meanvar_topk",
     f"""WITH {POSTERIOR}, scored AS ({_MEAN_VAR}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM scored)
-SELECT topic_id, doc_id, rank, score, mean, variance FROM ranked WHERE rank <= 1000""",
+SELECT topic_id, doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance FROM ranked WHERE rank <= 1000""",
 )
 def meanvar_topk(spark, folder):
     return S.mean_variance_search(
@@ -197,16 +197,16 @@ def meanvar_topk(spark, folder):
         k=1000,
         a=2.0,
         decimals=6,
-    ).select("topic_id", "doc_id", "rank", "score", "mean", "variance")
+    ).select(*_HITS, F.round("mean", 3).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
 @CATALOG.add(
     "meanvar_by_mean_topk",
     f"""WITH {POSTERIOR}, scored AS ({_MEAN_VAR}),
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY mean DESC, doc_id) AS r0 FROM scored) WHERE r0 <= 2000),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(mean, 6) DESC, doc_id) AS r0 FROM scored) WHERE r0 <= 2000),
 again AS (SELECT topic_id, doc_id, round(mean - 2 * sqrt(variance), 6) AS score, mean, variance FROM cut),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM again)
-SELECT topic_id, doc_id, rank, score, mean, variance FROM ranked WHERE rank <= 100""",
+SELECT topic_id, doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance FROM ranked WHERE rank <= 100""",
 )
 def meanvar_by_mean_topk(spark, folder):
     return S.mean_variance_search(
@@ -217,7 +217,7 @@ def meanvar_by_mean_topk(spark, folder):
         rank_by="mean",
         a=2.0,
         decimals=6,
-    ).select("topic_id", "doc_id", "rank", "score", "mean", "variance")
+    ).select(*_HITS, F.round("mean", 3).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
 @CATALOG.add(

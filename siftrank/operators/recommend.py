@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftrank.operators.positions import number_ids
 from siftrank.operators.search import top_k
+from siftrank.session import write_and_reload
 
 # The neighbourhood rules.
 NEIGHBOURS = 20
@@ -287,12 +288,19 @@ def _nearest_sums(parts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     ``other`` descending) of each group.
 
     Most groups have no more than ``k`` members and are summed by hashing alone;
-    only the members of fuller groups are ranked.
+    only the members of fuller groups are ranked. The sums are written with the
+    fuller groups apart, so that Spark knows how few those are when it joins them.
     """
     keys = list(keys)
     sums = [F.sum("num").alias("num"), F.sum("den").alias("den")]
-    totals = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-    over_full = totals.where(F.col("n") > k).select(*keys)
+    totals = write_and_reload(
+        parts.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), *sums)
+        .withColumn("over_full", F.col("n") > k),
+        "neighbour-sums",
+        partition_by=["over_full"],
+    )
+    over_full = totals.where("over_full").select(*keys)
     nearest = top_k(
         parts.join(over_full, keys, "left_semi"),
         k,
@@ -300,8 +308,8 @@ def _nearest_sums(parts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
         order=[F.col("sim").desc(), F.col("other").desc()],
     )
     return (
-        totals.where(F.col("n") <= k)
-        .drop("n")
+        totals.where("not over_full")
+        .drop("n", "over_full")
         .unionByName(nearest.groupBy(*keys).agg(*sums))
     )
 
@@ -311,7 +319,7 @@ def _user_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame)
     near = mirrored(edges, "user_id", "other").where(F.col("sim") >= MIN_USER_SIMILARITY)
     theirs = centred(ratings).select(F.col("user_id").alias("other"), "item_id", "w")
     if targets is None:
-        rows = near.join(theirs, "other")
+        rows = _by_user(near).join(theirs, "other")
     else:
         wanted = targets.select("user_id", "item_id")
         rows = wanted.join(theirs, "item_id").join(near, ["user_id", "other"])
@@ -325,12 +333,20 @@ def _user_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame)
     )
 
 
+def _by_user(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by user before they fan out. When the other side of the next
+    join is small enough to be broadcast, what comes of it is already grouped and
+    the much longer result is not shuffled. It is then also bounded per user, by
+    the size of that side; otherwise the join deals the rows out anew."""
+    return rows.repartition("user_id")
+
+
 def _item_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame) -> DataFrame:
     """Contributions of the items a user rated to an item's prediction."""
     near = mirrored(edges, "item_id", "other").where(F.col("sim") >= MIN_ITEM_SIMILARITY)
     theirs = ratings.select("user_id", F.col("item_id").alias("other"), "rating")
     if targets is None:
-        rows = near.join(theirs, "other")
+        rows = _by_user(theirs).join(near, "other")
     else:
         wanted = targets.select("user_id", "item_id")
         rows = wanted.join(theirs, "user_id").join(near, ["item_id", "other"])
@@ -426,40 +442,58 @@ def recommend_item_based(
 def _recommend(ratings, parts, value, top, users, k, decimals) -> DataFrame:
     """Predict what neighbours reach, add the rest at the user's mean, rank.
 
-    Items that no neighbour reaches all have the user's mean, and among equals
-    the larger id comes first. So for a list of ``top`` items a user needs only
-    as many such items, in falling id order, as there are places plus items to
-    skip; users are never crossed with all items unless the full list is asked
-    for (``top=None``).
+    Items that no neighbour reaches all have the user's mean. They cannot enter
+    the list of a user with ``top`` reached items above the mean; the other users
+    get as many of them as could have a place (see :func:`_unreached`). Users are
+    never crossed with all items unless the full list is asked for (``top=None``).
     """
     means = _means(ratings)
     if users is not None:
         wanted = users.select("user_id").distinct()
         means = means.join(wanted, "user_id", "left_semi")
         parts = parts.join(wanted, "user_id", "left_semi")
-    rated = ratings.select("user_id", "item_id")
     cells = ["user_id", "item_id"]
-    unseen = parts.join(rated, cells, "left_anti")
+    rated = ratings.select(*cells)
+    best_first = [F.col("prediction").desc(), F.col("item_id").desc()]
+    settle = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
+
     reached = (
-        _nearest_sums(unseen, cells, k)
+        _nearest_sums(parts, cells, k)
+        .join(rated, cells, "left_anti")
         .join(means, "user_id")
-        .select("user_id", "item_id", value.alias("prediction"))
+        .select(*cells, settle(value).alias("prediction"), settle(F.col("mean")).alias("mean"))
     )
-    skipped = reached.select(*cells).unionByName(rated)
-    fillers = _unreached(means, skipped, number_ids(ratings, "item_id", "place", descending=True), top)
-    full = reached.unionByName(fillers)
-    if decimals is not None:
-        full = full.withColumn("prediction", F.round("prediction", decimals))
-    return top_k(
-        full, top, keys=["user_id"], order=[F.col("prediction").desc(), F.col("item_id").desc()]
+    # At most ``top`` rows a user, and needed twice.
+    best = write_and_reload(
+        top_k(reached, top, keys=["user_id"], order=best_first), "recommended"
+    )
+    short = means.withColumn("mean", settle(F.col("mean")))
+    if top is not None:
+        filled = (
+            best.where(F.col("prediction") > F.col("mean"))
+            .groupBy("user_id")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") >= top)
+        )
+        short = short.join(filled, "user_id", "left_anti")
+    of_short = short.select("user_id")
+    skipped = (
+        parts.join(of_short, "user_id", "left_semi")
+        .select(*cells)
+        .unionByName(rated.join(of_short, "user_id", "left_semi"))
+        .distinct()
     )
+    items = number_ids(ratings, "item_id", "place", descending=True)
+    full = best.select(*cells, "prediction").unionByName(_unreached(short, skipped, items, top))
+    return top_k(full, top, keys=["user_id"], order=best_first)
 
 
 def _unreached(
     means: DataFrame, skipped: DataFrame, items: DataFrame, top: int | None
 ) -> DataFrame:
-    """Items at the user's mean: walk the items from the largest id, as far as
-    ``top`` plus the number of skipped items, and leave out the skipped ones."""
+    """Items at the user's mean. Among equals the larger id comes first, so items
+    are walked from the largest id, as far as ``top`` plus the number of skipped
+    items, and the skipped ones are left out."""
     n_items = items.select(F.count(F.lit(1))).scalar()
     counts = skipped.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_skipped"))
     walk = means.join(counts, "user_id", "left").withColumn("_items", n_items)

@@ -292,15 +292,14 @@ def mean_variance_search(
     The best ``precut`` by score (or by mean) stay, then the top ``k`` by score
     (or by ``mean - a * sd``).
     """
+    settle = (lambda c: F.col(c)) if decimals is None else (lambda c: F.round(c, decimals))
     scored = score(index, query_terms, model)
-    if decimals is not None:
-        scored = rounded(scored, decimals, ("score", "mean", "variance"))
     if rank_by == "mean":
-        scored = top_k(scored, precut, order=[F.col("mean").desc(), F.col("doc_id").asc()])
+        scored = top_k(scored, precut, order=[settle("mean").desc(), F.col("doc_id").asc()])
         scored = scored.withColumn("score", F.col("mean") - F.lit(float(a)) * F.sqrt("variance"))
-        scored = scored if decimals is None else rounded(scored, decimals)
+        scored = scored.withColumn("score", settle("score"))
     else:
-        scored = top_k(scored, precut)
+        scored = top_k(scored.withColumn("score", settle("score")), precut)
     return top_k(scored.drop("rank"), k)
 
 

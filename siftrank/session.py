@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +46,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/siftrank/{label}-{uuid.uuid4().hex}"
 
 
-def write_and_reload(df: DataFrame, label: str) -> DataFrame:
+def write_and_reload(
+    df: DataFrame, label: str, partition_by: Sequence[str] = ()
+) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where one result feeds several branches. Unlike a cached copy it
@@ -53,5 +56,5 @@ def write_and_reload(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
