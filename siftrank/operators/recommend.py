@@ -282,55 +282,41 @@ def similarity_lists(edges: DataFrame, k: int | None = None) -> DataFrame:
 
 # --- prediction ------------------------------------------------------------
 
+_CELL = ["user_id", "item_id"]
 
-def _nearest_sums(parts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Sums of ``num`` and ``den`` over the ``k`` nearest (``sim`` descending,
-    ``other`` descending) of each group.
 
-    Most groups have no more than ``k`` members and are summed by hashing alone;
-    only the members of fuller groups are ranked. The sums are written with the
-    fuller groups apart, so that Spark knows how few those are when it joins them.
+def _nearest(parts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest (``sim`` descending, ``other`` descending) of each cell."""
+    order = [F.col("sim").desc(), F.col("other").desc()]
+    return top_k(parts, k, keys=_CELL, order=order)
+
+
+def _sums() -> list[Column]:
+    return [F.sum("num").alias("num"), F.sum("den").alias("den")]
+
+
+def _sums_of_nearest(parts: DataFrame, k: int) -> DataFrame:
+    """Sums over the ``k`` nearest of each cell; every cell is ranked."""
+    return _nearest(parts, k).groupBy(*_CELL).agg(*_sums())
+
+
+def _sums_of_mostly_few(parts: DataFrame, k: int) -> DataFrame:
+    """The same for very many cells of which few have more than ``k`` members.
+
+    All cells are summed by hashing; only the members of fuller cells are ranked.
+    The sums are written with the fuller cells apart, so that Spark knows how few
+    those are when it joins them.
     """
-    keys = list(keys)
-    sums = [F.sum("num").alias("num"), F.sum("den").alias("den")]
     totals = write_and_reload(
-        parts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), *sums)
+        parts.groupBy(*_CELL)
+        .agg(F.count(F.lit(1)).alias("n"), *_sums())
         .withColumn("over_full", F.col("n") > k),
         "neighbour-sums",
         partition_by=["over_full"],
     )
-    over_full = totals.where("over_full").select(*keys)
-    nearest = top_k(
-        parts.join(over_full, keys, "left_semi"),
-        k,
-        keys=keys,
-        order=[F.col("sim").desc(), F.col("other").desc()],
-    )
-    return (
-        totals.where("not over_full")
-        .drop("n", "over_full")
-        .unionByName(nearest.groupBy(*keys).agg(*sums))
-    )
-
-
-def _user_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame) -> DataFrame:
-    """Contributions (user_id, item_id, other, sim, num, den) of user neighbours."""
-    near = mirrored(edges, "user_id", "other").where(F.col("sim") >= MIN_USER_SIMILARITY)
-    theirs = centred(ratings).select(F.col("user_id").alias("other"), "item_id", "w")
-    if targets is None:
-        rows = _by_user(near).join(theirs, "other")
-    else:
-        wanted = targets.select("user_id", "item_id")
-        rows = wanted.join(theirs, "item_id").join(near, ["user_id", "other"])
-    return rows.select(
-        "user_id",
-        "item_id",
-        "other",
-        "sim",
-        (F.col("sim") * F.col("w")).alias("num"),
-        F.abs("sim").alias("den"),
-    )
+    over_full = totals.where("over_full").select(*_CELL)
+    ranked = _sums_of_nearest(parts.join(over_full, _CELL, "left_semi"), k)
+    return totals.where("not over_full").drop("n", "over_full").unionByName(ranked)
 
 
 def _by_user(rows: DataFrame) -> DataFrame:
@@ -341,22 +327,37 @@ def _by_user(rows: DataFrame) -> DataFrame:
     return rows.repartition("user_id")
 
 
+def _with_edges(rows: DataFrame, edges: DataFrame, one: str) -> DataFrame:
+    """Join rows that name both ends of an edge, ``one`` and ``other``. The ends are
+    put in order on the fly, which spares mirroring the edges."""
+    ends = {"a": F.least(one, "other"), "b": F.greatest(one, "other")}
+    return rows.where(F.col(one) != F.col("other")).withColumns(ends).join(edges, ["a", "b"])
+
+
+def _user_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Contributions (user_id, item_id, other, sim, num, den) of user neighbours, to
+    the target cells or, without targets, to all cells they reach."""
+    edges = edges.where(F.col("sim") >= MIN_USER_SIMILARITY)
+    theirs = centred(ratings).select(F.col("user_id").alias("other"), "item_id", "w")
+    if targets is None:
+        rows = _by_user(mirrored(edges, "user_id", "other")).join(theirs, "other")
+    else:
+        rows = _with_edges(targets.select(*_CELL).join(theirs, "item_id"), edges, "user_id")
+    return rows.select(
+        *_CELL, "other", "sim", (F.col("sim") * F.col("w")).alias("num"), F.abs("sim").alias("den")
+    )
+
+
 def _item_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame) -> DataFrame:
     """Contributions of the items a user rated to an item's prediction."""
-    near = mirrored(edges, "item_id", "other").where(F.col("sim") >= MIN_ITEM_SIMILARITY)
+    edges = edges.where(F.col("sim") >= MIN_ITEM_SIMILARITY)
     theirs = ratings.select("user_id", F.col("item_id").alias("other"), "rating")
     if targets is None:
-        rows = _by_user(theirs).join(near, "other")
+        rows = _by_user(theirs).join(mirrored(edges, "item_id", "other"), "other")
     else:
-        wanted = targets.select("user_id", "item_id")
-        rows = wanted.join(theirs, "user_id").join(near, ["item_id", "other"])
+        rows = _with_edges(targets.select(*_CELL).join(theirs, "user_id"), edges, "item_id")
     return rows.select(
-        "user_id",
-        "item_id",
-        "other",
-        "sim",
-        (F.col("sim") * F.col("rating")).alias("num"),
-        F.col("sim").alias("den"),
+        *_CELL, "other", "sim", (F.col("sim") * F.col("rating")).alias("num"), F.col("sim").alias("den")
     )
 
 
@@ -402,12 +403,11 @@ def predict_item_based(
 
 
 def _predict(targets, ratings, parts, value, k, clip) -> DataFrame:
-    sums = _nearest_sums(parts, ["user_id", "item_id"], k)
     return (
-        targets.select("user_id", "item_id")
+        targets.select(*_CELL)
         .join(_means(ratings), "user_id")
-        .join(sums, ["user_id", "item_id"], "left")
-        .select("user_id", "item_id", _clipped(value, clip).alias("prediction"))
+        .join(_sums_of_nearest(parts, k), _CELL, "left")
+        .select(*_CELL, _clipped(value, clip).alias("prediction"))
     )
 
 
@@ -452,16 +452,15 @@ def _recommend(ratings, parts, value, top, users, k, decimals) -> DataFrame:
         wanted = users.select("user_id").distinct()
         means = means.join(wanted, "user_id", "left_semi")
         parts = parts.join(wanted, "user_id", "left_semi")
-    cells = ["user_id", "item_id"]
-    rated = ratings.select(*cells)
+    rated = ratings.select(*_CELL)
     best_first = [F.col("prediction").desc(), F.col("item_id").desc()]
     settle = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
 
     reached = (
-        _nearest_sums(parts, cells, k)
-        .join(rated, cells, "left_anti")
+        _sums_of_mostly_few(parts, k)
+        .join(rated, _CELL, "left_anti")
         .join(means, "user_id")
-        .select(*cells, settle(value).alias("prediction"), settle(F.col("mean")).alias("mean"))
+        .select(*_CELL, settle(value).alias("prediction"), settle(F.col("mean")).alias("mean"))
     )
     # At most ``top`` rows a user, and needed twice.
     best = write_and_reload(
@@ -479,12 +478,12 @@ def _recommend(ratings, parts, value, top, users, k, decimals) -> DataFrame:
     of_short = short.select("user_id")
     skipped = (
         parts.join(of_short, "user_id", "left_semi")
-        .select(*cells)
+        .select(*_CELL)
         .unionByName(rated.join(of_short, "user_id", "left_semi"))
         .distinct()
     )
     items = number_ids(ratings, "item_id", "place", descending=True)
-    full = best.select(*cells, "prediction").unionByName(_unreached(short, skipped, items, top))
+    full = best.select(*_CELL, "prediction").unionByName(_unreached(short, skipped, items, top))
     return top_k(full, top, keys=["user_id"], order=best_first)
 
 
