@@ -52,6 +52,7 @@ BM25_K1, BM25_B = 1.6, 0.5
 DIRICHLET_MU = 1000.0
 JELINEK_LAMBDA = 0.1
 RISK_LAMBDA = 0.1
+SMALLEST = 4.9e-324  # the smallest positive double
 
 
 def idf(p: Pair, kind: str = "log2") -> Column:
@@ -72,7 +73,7 @@ def vector_space() -> Model:
 
 
 def bm25(k1: float | Column = BM25_K1, b: float | Column = BM25_B) -> Model:
-    k1, b = _column(k1), _column(b)
+    k1, b = _number(k1), _number(b)
 
     def present(p: Pair) -> Column:
         rarity = F.log2((p.n_docs - p.df + 0.5) / (p.df + 0.5))
@@ -82,7 +83,7 @@ def bm25(k1: float | Column = BM25_K1, b: float | Column = BM25_B) -> Model:
 
 
 def dirichlet(mu: float | Column = DIRICHLET_MU) -> Model:
-    mu = _column(mu)
+    mu = _number(mu)
     return Model(
         "dirichlet",
         present=lambda p: F.log((p.tf + mu * p.ctf / p.cl) / (p.dl + mu)),
@@ -92,7 +93,7 @@ def dirichlet(mu: float | Column = DIRICHLET_MU) -> Model:
 
 
 def jelinek_mercer(lam: float | Column = JELINEK_LAMBDA) -> Model:
-    lam = _column(lam)
+    lam = _number(lam)
     return Model(
         "jelinek_mercer",
         present=lambda p: F.log((1 - lam) * p.tf / p.dl + lam * p.ctf / p.cl),
@@ -101,7 +102,7 @@ def jelinek_mercer(lam: float | Column = JELINEK_LAMBDA) -> Model:
     )
 
 
-def _posterior(p: Pair, lam: Column) -> tuple[Column, Column]:
+def _posterior(p: Pair, lam: float | Column) -> tuple[Column, Column]:
     """Mean and variance of the smoothed term probability (a Dirichlet posterior)."""
     u = p.dl * lam / (1 - lam)
     t = p.tf + u * p.ctf / p.cl
@@ -114,7 +115,7 @@ def _posterior(p: Pair, lam: Column) -> tuple[Column, Column]:
 
 def risk_adjusted(a: float | Column = 0.0, lam: float | Column = RISK_LAMBDA) -> Model:
     """Log-odds of the posterior with a penalty of ``a`` standard deviations."""
-    a, lam = _column(a), _column(lam)
+    a, lam = _number(a), _number(lam)
 
     def mean(p: Pair) -> Column:
         m, v = _posterior(p, lam)
@@ -140,12 +141,12 @@ def risk_adjusted(a: float | Column = 0.0, lam: float | Column = RISK_LAMBDA) ->
 
 def risk_adjusted_plain(a: float | Column = 0.0, lam: float | Column = RISK_LAMBDA) -> Model:
     """The same posterior without the log-odds step."""
-    a, lam = _column(a), _column(lam)
-    tiny = F.lit(4.9e-324)  # fixed value: the smallest positive double
+    a, lam = _number(a), _number(lam)
 
     def score(p: Pair) -> Column:
         m, v = _posterior(p, lam)
-        return F.when(a == 0, F.log(m)).otherwise(F.log(F.greatest(m - a * F.sqrt(v), tiny)))
+        lowered = F.greatest(m - a * F.sqrt(v), F.lit(SMALLEST))
+        return F.when(F.lit(a) == 0, F.log(m)).otherwise(F.log(lowered))
 
     return Model(
         "risk_adjusted_plain", present=score, absent=lambda p: score(p._replace(tf=F.lit(0.0)))
@@ -156,5 +157,5 @@ def risk_adjusted_plain(a: float | Column = 0.0, lam: float | Column = RISK_LAMB
 MODELS = (tf_idf, vector_space, bm25, dirichlet, jelinek_mercer, risk_adjusted)
 
 
-def _column(value: float | Column) -> Column:
-    return value if isinstance(value, Column) else F.lit(float(value))
+def _number(value: float | Column) -> float | Column:
+    return value if isinstance(value, Column) else float(value)
