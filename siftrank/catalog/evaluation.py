@@ -224,7 +224,7 @@ def _dirichlet_run(spark, folder):
         lambda: write_and_reload(
             S.search(
                 I.corpus_index(spark, folder),
-                I.topic_terms(spark, folder),
+                I.prepared_terms(spark, folder),
                 models.dirichlet(),
                 k=1000,
                 decimals=6,
@@ -325,7 +325,7 @@ def parameter_sweep(spark, folder):
     """BM25's length parameter from 0 to 1 in steps of a quarter."""
     swept = P.sweep(
         I.corpus_index(spark, folder),
-        I.topic_terms(spark, folder),
+        I.prepared_terms(spark, folder),
         I.stored_judgements(spark, folder),
         lambda b: models.bm25(b=b),
         _GRID,

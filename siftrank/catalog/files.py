@@ -96,7 +96,7 @@ SELECT topic_id, doc_id::VARCHAR AS doc_id, rank, score, round(mean, 3) AS mean,
 def meanvar_run_round_trip(spark, folder):
     run = S.mean_variance_search(
         I.corpus_index(spark, folder),
-        I.topic_terms(spark, folder),
+        I.prepared_terms(spark, folder),
         models.risk_adjusted(a=2.0),
         k=100,
         decimals=6,

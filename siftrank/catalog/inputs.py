@@ -48,7 +48,9 @@ def corpus_index(spark: SparkSession, folder: str) -> Index:
         spark,
         folder,
         "index",
-        lambda: index_documents(documents(spark, folder), scratch_path(spark, "index")),
+        lambda: index_documents(
+            load(spark, folder, "documents"), scratch_path(spark, "index")
+        ),
     )
 
 
@@ -61,6 +63,15 @@ def topic_terms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def prepared_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return once(
+        spark,
+        folder,
+        "prepared_terms",
+        lambda: search.prepare(corpus_index(spark, folder), topic_terms(spark, folder)),
+    )
+
+
 def judgements(spark: SparkSession, folder: str) -> DataFrame:
     terms = topic_terms(spark, folder)
     labels = load(spark, folder, "labels").select("doc_id", "quality")
@@ -149,7 +160,7 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
         lambda: write_and_reload(
             search.search(
                 corpus_index(spark, folder),
-                topic_terms(spark, folder),
+                prepared_terms(spark, folder),
                 models.bm25(),
                 k=1000,
                 decimals=6,

@@ -25,7 +25,7 @@ def _hits(spark, folder):
         lambda: write_and_reload(
             S.search(
                 I.corpus_index(spark, folder),
-                I.topic_terms(spark, folder),
+                I.prepared_terms(spark, folder),
                 models.bm25(),
                 k=_TOP,
                 decimals=6,
@@ -43,7 +43,7 @@ def _meanvar_hits(spark, folder):
         lambda: write_and_reload(
             S.mean_variance_search(
                 I.corpus_index(spark, folder),
-                I.topic_terms(spark, folder),
+                I.prepared_terms(spark, folder),
                 models.risk_adjusted(a=2.0),
                 k=_TOP,
                 decimals=6,

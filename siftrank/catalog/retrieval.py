@@ -32,11 +32,11 @@ def _matched(expr: str) -> str:
 FROM qt JOIN lex USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY ALL"""
 
 
-def _register_model(name: str, model, sql: str) -> None:
+def _register_model(name: str, model, sql: str, terms=I.prepared_terms) -> None:
     def query(spark, folder):
         return S.search(
             I.corpus_index(spark, folder),
-            I.topic_terms(spark, folder),
+            terms(spark, folder),
             model(),
             k=10,
             decimals=6,
@@ -65,6 +65,7 @@ FROM (SELECT topic_id, doc_id, sum(qtf * tf) AS dot FROM qt JOIN post USING (ter
 JOIN (SELECT topic_id, sqrt(sum(qtf * qtf)) AS qn FROM qt GROUP BY ALL) USING (topic_id)
 JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM post GROUP BY ALL) USING (doc_id)""",
     ),
+    terms=I.topic_terms,
 )
 _register_model(
     "dirichlet_topk",
@@ -136,7 +137,7 @@ def bm25_quantised(spark, folder):
 
     index = quantised(I.corpus_index(spark, folder))
     return S.search(
-        index, I.topic_terms(spark, folder), models.bm25(), k=10, decimals=6
+        index, I.prepared_terms(spark, folder), models.bm25(), k=10, decimals=6
     ).select(*_HITS)
 
 
@@ -155,7 +156,7 @@ def candidates(spark, folder):
 
 @CATALOG.add("bm25_all_scores", f"WITH {I.TOPICS} {_matched(BM25)}")
 def bm25_all_scores(spark, folder):
-    index, terms = I.corpus_index(spark, folder), I.topic_terms(spark, folder)
+    index, terms = I.corpus_index(spark, folder), I.prepared_terms(spark, folder)
     return S.rounded(S.score(index, terms, models.bm25()))
 
 
@@ -165,7 +166,7 @@ def bm25_all_scores(spark, folder):
     + _filled("ln((tf + 1000 * ctf / cl) / (dl + 1000))", "ln((1000 * ctf / cl) / (dl + 1000))"),
 )
 def default_fill_scores(spark, folder):
-    index, terms = I.corpus_index(spark, folder), I.topic_terms(spark, folder)
+    index, terms = I.corpus_index(spark, folder), I.prepared_terms(spark, folder)
     return S.rounded(S.score(index, terms, models.dirichlet()))
 
 
@@ -175,7 +176,7 @@ def default_fill_scores(spark, folder):
 SELECT topic_id, count(*) AS total_hits, max(score) AS max_score FROM scored GROUP BY ALL""",
 )
 def hit_summary(spark, folder):
-    index, terms = I.corpus_index(spark, folder), I.topic_terms(spark, folder)
+    index, terms = I.corpus_index(spark, folder), I.prepared_terms(spark, folder)
     return S.hit_summary(S.rounded(S.score(index, terms, models.bm25())))
 
 
@@ -192,7 +193,7 @@ SELECT topic_id, doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2)
 def meanvar_topk(spark, folder):
     return S.mean_variance_search(
         I.corpus_index(spark, folder),
-        I.topic_terms(spark, folder),
+        I.prepared_terms(spark, folder),
         models.risk_adjusted(a=2.0),
         k=1000,
         a=2.0,
@@ -211,7 +212,7 @@ SELECT topic_id, doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2)
 def meanvar_by_mean_topk(spark, folder):
     return S.mean_variance_search(
         I.corpus_index(spark, folder),
-        I.topic_terms(spark, folder),
+        I.prepared_terms(spark, folder),
         models.risk_adjusted(a=2.0),
         k=100,
         rank_by="mean",
@@ -227,7 +228,7 @@ SELECT topic_id, doc_id, term, qtf, round({BM25}, 6) AS score
 FROM qt JOIN lex USING (term) JOIN post USING (term) JOIN len USING (doc_id), st""",
 )
 def per_term_scores(spark, folder):
-    index, terms = I.corpus_index(spark, folder), I.topic_terms(spark, folder)
+    index, terms = I.corpus_index(spark, folder), I.prepared_terms(spark, folder)
     return S.rounded(S.term_scores(index, terms, models.bm25()))
 
 
@@ -266,7 +267,7 @@ def range_filtered_topk(spark, folder):
     )
     return S.search(
         I.corpus_index(spark, folder),
-        I.topic_terms(spark, folder),
+        I.prepared_terms(spark, folder),
         models.bm25(),
         k=10,
         allowed=allowed,
@@ -310,7 +311,7 @@ def field_sorted_topk(spark, folder):
     from siftrank.sources.tables import load
 
     scored = S.rounded(
-        S.score(I.corpus_index(spark, folder), I.topic_terms(spark, folder), models.tf_idf())
+        S.score(I.corpus_index(spark, folder), I.prepared_terms(spark, folder), models.tf_idf())
     )
     return S.top_k_by_fields(
         scored, load(spark, folder, "documents"), [("lang", False), ("n_chars", True)], k=20

@@ -164,8 +164,8 @@ def _similarities(
     A ``via`` with at most ``heavy`` cells makes its pairs in a join, at most
     ``heavy / 2`` per cell. Beyond that the cells are laid out in blocks of
     ``who`` by chunks of ``via`` and the sums come from products of bounded
-    matrices, added up before anything is shuffled. Both ways are exact and
-    their partial sums meet in one aggregate.
+    matrices, added up before anything is shuffled. Both ways are exact and meet
+    in one aggregate.
     """
     cells = cells.select(F.col(who).alias("x"), F.col(via).alias("v"), "w")
     crowded = cells.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy)
@@ -191,10 +191,7 @@ def _pairs_by_join(cells: DataFrame) -> DataFrame:
     return (
         left.join(right, "v")
         .where(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(
-            F.sum(wa * wb).alias("dot"), F.sum(wa * wa).alias("sq_a"), F.sum(wb * wb).alias("sq_b")
-        )
+        .select("a", "b", (wa * wb).alias("dot"), (wa * wa).alias("sq_a"), (wb * wb).alias("sq_b"))
     )
 
 

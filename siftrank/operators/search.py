@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from siftrank.functions.models import Model, Pair
 from siftrank.operators.analyze import Analyzer, analyze
 from siftrank.operators.index import Index
+from siftrank.session import write_and_reload
 
 
 def parse_topics(
@@ -34,9 +35,23 @@ def parse_topics(
 
 def known_terms(index: Index, query_terms: DataFrame) -> DataFrame:
     """Query terms found in the collection, with df and ctf. Others score 0."""
+    if {"df", "ctf"} <= set(query_terms.columns):
+        return query_terms
     return query_terms.join(index.lexicon, "term")
 
 
+def prepare(index: Index, query_terms: DataFrame) -> DataFrame:
+    """Known query terms, written and read back. The planner cannot tell how small
+    query terms joined with a large lexicon are; of a stored table it knows the
+    size, and broadcasts it to the postings when it is under the threshold.
+    Prepared terms can be passed wherever query terms can, and are kept as they are;
+    only the cosine, whose query norm counts unknown terms too, wants all terms.
+    """
+    if {"df", "ctf"} <= set(query_terms.columns):
+        return query_terms
+    return write_and_reload(known_terms(index, query_terms), "query-terms")
+
+
 def _stats_columns(index: Index) -> dict[str, Column]:
     return {name: index.stats.select(name).scalar() for name in ("n_docs", "cl", "avg_dl")}
 
@@ -90,6 +105,7 @@ def score(
     """
     if model.cosine:
         return cosine_scores(index, query_terms, allowed)
+    query_terms = prepare(index, query_terms)
     keys = ["topic_id", *by]
     if model.absent is not None:
         return _score_with_pair_defaults(index, query_terms, model, allowed, keys)
@@ -134,18 +150,19 @@ def _score_with_split_defaults(
 def _score_with_pair_defaults(
     index: Index, query_terms: DataFrame, model: Model, allowed: DataFrame | None, keys: list[str]
 ) -> DataFrame:
-    """Defaults evaluated per (candidate, query term).
+    """Defaults evaluated per (topic, document length, query term).
 
-    First the present terms are summed per candidate, as score minus default;
-    then each candidate meets the terms of its topic and the defaults are
-    added. Both sums group by the same keys: when the query table is small
-    enough to be broadcast the second one needs no further shuffle.
+    A default depends on the document only through its length, and a collection
+    has far fewer lengths than candidates. So defaults are summed per topic and
+    length that occurs, and each candidate, with its present terms summed as
+    score minus default, looks its sum up.
     """
     p = _pair()
     values = {"score": (model.present, model.absent), **model.extras}
+    names = list(values)
+    matched = match(index, query_terms, allowed)
     gains = (
-        match(index, query_terms, allowed)
-        .select(
+        matched.select(
             *keys,
             "doc_id",
             "dl",
@@ -155,26 +172,28 @@ def _score_with_pair_defaults(
             ],
         )
         .groupBy(*keys, "doc_id", "dl")
-        .agg(*[F.sum(name).alias(f"gain_{name}") for name in values])
+        .agg(*[F.sum(name).alias(f"gain_{name}") for name in names])
+    )
+    defaults = (
+        matched.select(*keys, "dl")
+        .distinct()
+        .join(known_terms(index, query_terms), keys)
+        .withColumns(_stats_columns(index))
+        .select(
+            *keys,
+            "dl",
+            *[
+                (F.col("qtf") * absent(p)).alias(name) for name, (_, absent) in values.items()
+            ],
+        )
+        .groupBy(*keys, "dl")
+        .agg(*[F.sum(name).alias(f"default_{name}") for name in names])
     )
-    query = known_terms(index, query_terms)
-    defaults = gains.join(query, keys).withColumns(_stats_columns(index))
-    defaults = defaults.select(
+    return gains.join(defaults, [*keys, "dl"]).select(
         *keys,
         "doc_id",
-        "dl",
-        *[f"gain_{name}" for name in values],
-        *[
-            (F.col("qtf") * absent(p)).alias(f"default_{name}")
-            for name, (_, absent) in values.items()
-        ],
+        *[(F.col(f"gain_{n}") + F.col(f"default_{n}")).alias(n) for n in names],
     )
-    return defaults.groupBy(*keys, "doc_id", "dl").agg(
-        *[
-            (F.max(f"gain_{name}") + F.sum(f"default_{name}")).alias(name)
-            for name in values
-        ]
-    ).drop("dl")
 
 
 def score_by_filling(index: Index, query_terms: DataFrame, model: Model) -> DataFrame:

@@ -50,7 +50,7 @@ def sweep_run(
     The grid rides on the query terms as a column, so all values are scored in
     one job and read the postings once.
     """
-    grid = query_terms.withColumn(
+    grid = search.prepare(index, query_terms).withColumn(
         "param", F.explode(F.array(*[F.lit(float(v)) for v in values]))
     )
     scored = search.score(index, grid, model(F.col("param")), by=["param"])

@@ -1,17 +1,25 @@
-"""The index as Parquet tables, written once and searched many times."""
+"""The index as tables, written once and searched many times.
+
+Postings are bucketed by document and sorted by term inside a bucket. Scoring
+sums per (topic, document), so with a query table small enough to be broadcast
+no match is shuffled: each bucket scores its own documents and only its best
+hits travel. The sort keeps row groups narrow in ``term``, so a look-up of a term
+still skips most of every file.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftrank.operators.analyze import Analyzer, token_arrays
 from siftrank.operators.index import Index, collection_stats, lexicon, raw_postings
 
 
-def _by_term(df: DataFrame, *more: str) -> DataFrame:
-    """Range-sorted, so that a look-up reads few row groups. Sorting by document
-    within the term lets a common term spread over several files."""
-    return df.repartitionByRange("term", *more).sortWithinPartitions("term", *more)
+def default_buckets(spark: SparkSession) -> int:
+    """One bucket per shuffle partition, the size the cluster was set up for."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def index_documents(
@@ -20,39 +28,83 @@ def index_documents(
     text: str = "text",
     id: str = "doc_id",
     analyzer: Analyzer = Analyzer(),
+    buckets: int | None = None,
 ) -> Index:
-    """Build from text and store. The text is read and tokenized once; lexicon,
-    lengths and statistics are derived from the stored postings."""
+    """Build from text and store.
+
+    The one shuffle moves the texts, by document, before they grow into tokens;
+    a document's tokens are then counted where they are. Lexicon, lengths and
+    statistics are derived from the stored postings, so the text is read and
+    tokenized once.
+    """
     spark = documents.sparkSession
-    raw = raw_postings(token_arrays(documents, text, id, analyzer), analyzer.stem)
-    _by_term(raw, "doc_id").write.parquet(f"{path}/postings")
-    stored = spark.read.schema(raw.schema).parquet(f"{path}/postings")
+    n = buckets or default_buckets(spark)
+    texts = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    arrays = token_arrays(texts.repartition(n, "doc_id"), analyzer=analyzer)
+    stored = _write_bucketed(raw_postings(arrays, analyzer.stem), f"{path}/postings", n)
     _by_term(lexicon(stored.where(F.col("term").isNotNull()))).write.parquet(f"{path}/lexicon")
     stored.where("lead").select("doc_id", "dl").write.parquet(f"{path}/lengths")
     collection_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/stats")
-    return read_index(spark, path)
+    return _open(spark, path, stored)
 
 
-def write_index(index: Index, path: str) -> Index:
+def write_index(index: Index, path: str, buckets: int | None = None) -> Index:
     """Store any index (a merged one, say)."""
     spark = index.postings.sparkSession
-    _by_term(index.postings, "doc_id").write.parquet(f"{path}/postings")
+    n = buckets or default_buckets(spark)
+    stored = _write_bucketed(index.postings.repartition(n, "doc_id"), f"{path}/postings", n)
     _by_term(index.lexicon).write.parquet(f"{path}/lexicon")
     index.lengths.write.parquet(f"{path}/lengths")
     index.stats.write.parquet(f"{path}/stats")
-    return read_index(spark, path)
+    return _open(spark, path, stored)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("term").isNotNull())
+    """Open an index another session wrote."""
+    schema = spark.read.parquet(f"{path}/postings").schema
+    n = spark.read.parquet(f"{path}/postings-layout").first().buckets
+    table = _fresh_name()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (doc_id) "
+        f"SORTED BY (term, doc_id) INTO {n} BUCKETS LOCATION '{path}/postings'"
+    )
+    return _open(spark, path, spark.table(table))
+
+
+def _write_bucketed(postings: DataFrame, path: str, n: int) -> DataFrame:
+    """Rows come partitioned by document, so every task fills one bucket."""
+    spark = postings.sparkSession
+    table = _fresh_name()
+    (
+        postings.write.format("parquet")
+        .bucketBy(n, "doc_id")
+        .sortBy("term", "doc_id")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    spark.range(1).select(F.lit(n).alias("buckets")).write.parquet(f"{path}-layout")
+    return spark.table(table)
+
+
+def _fresh_name() -> str:
+    return f"postings_{uuid.uuid4().hex}"
+
+
+def _open(spark: SparkSession, path: str, postings: DataFrame) -> Index:
     return Index(
-        postings.select("term", "doc_id", "tf", "dl"),
+        postings.where(F.col("term").isNotNull()).select("term", "doc_id", "tf", "dl"),
         spark.read.parquet(f"{path}/lexicon"),
         spark.read.parquet(f"{path}/lengths"),
         spark.read.parquet(f"{path}/stats"),
     )
 
 
+def _by_term(lexicon: DataFrame) -> DataFrame:
+    """Range-sorted, so that look-ups and prefix scans read few row groups."""
+    return lexicon.repartitionByRange("term").sortWithinPartitions("term")
+
+
 def fetch_posting(index: Index, term: str) -> DataFrame:
     """Postings of one term; the comparison reaches the scan and prunes row groups."""
     return index.postings.where(F.col("term") == term)

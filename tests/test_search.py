@@ -131,6 +131,10 @@ def test_stored_index_keeps_empty_documents_and_random_postings(spark):
     built = X.build_index(df)
     for field in ("postings", "lexicon", "lengths", "stats"):
         assert _rows(getattr(stored, field)) == _rows(getattr(built, field))
+    path = scratch_path(spark, "t")
+    index_store.write_index(stored, path, buckets=3)
+    again = index_store.read_index(spark, path)
+    assert _rows(again.postings) == _rows(built.postings)
     term = "c"
     assert index_store.fetch_posting(stored, term).count() == sum("c" in t for _, t in docs)
     assert index_store.fetch_length(stored, 5).first().dl == len(docs[5][1].split())
@@ -152,6 +156,18 @@ def test_families_must_hold_the_same_documents(spark):
         X.join_families([a, b.where("doc_id = 1")]).collect()
 
 
+def test_matches_are_not_shuffled(spark, corpus):
+    from siftrank.session import scratch_path
+    from siftrank.sources import index_store
+
+    stored = index_store.index_documents(corpus, scratch_path(spark, "t"), buckets=4)
+    terms = spark.createDataFrame([(1, "fox", 1)], "topic_id long, term string, qtf long")
+    terms = S.prepare(stored, terms)
+    plan = S.score(stored, terms, M.bm25())._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(topic_id" not in plan
+    assert "Bucketed: true" in plan
+
+
 def test_lookup_prunes_at_the_scan(spark, corpus):
     from siftrank.session import scratch_path
     from siftrank.sources import index_store
