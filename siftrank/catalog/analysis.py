@@ -14,7 +14,7 @@ CATALOG = Catalog()
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 _TOKENS = r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ts FROM documents)"
 _KEPT = rf"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x NOT IN ({_STOP_SQL})) AS ts FROM documents)"""
-_POSITIONS = "SELECT doc_id, unnest(range(0, len(ts)))::INT AS pos, unnest(ts) AS term FROM t"
+_POSITIONS = "SELECT doc_id, unnest(range(0, len(ts)))::BIGINT AS pos, unnest(ts) AS term FROM t"
 
 
 @CATALOG.add("letter_tokens", f"{_TOKENS} {_POSITIONS}")
@@ -75,7 +75,7 @@ def stemmed_tokens(spark, folder):
 p AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS piece FROM t),
 o AS (SELECT doc_id, piece, sum(length(piece)) OVER w AS e, regexp_matches(piece, '^\p{L}') AS tk,
   sum(regexp_matches(piece, '^\p{L}')::INT) OVER w - 1 AS pos FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-SELECT doc_id, pos::INT AS pos, lower(piece) AS term, (e - length(piece))::INT AS "start", e::INT AS "end" FROM o WHERE tk""",
+SELECT doc_id, pos::BIGINT AS pos, lower(piece) AS term, (e - length(piece))::BIGINT AS "start", e::BIGINT AS "end" FROM o WHERE tk""",
 )
 def token_offsets(spark, folder):
     return A.token_offsets(I.documents(spark, folder))

@@ -58,7 +58,7 @@ def _ndcg(n: int) -> str:
 def _call(k: int) -> str:
     return (
         "(max(rank) >= 10 AND sum(CASE WHEN relevant AND rank <= 10 THEN 1 ELSE 0 END)"
-        f" >= {k})::INT"
+        f" >= {k})::BIGINT"
     )
 
 

@@ -88,7 +88,7 @@ def run_round_trip(spark, folder):
 
 @CATALOG.add(
     "meanvar_run_round_trip",
-    f"""WITH {POSTERIOR}, scored AS (SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score,
+    f"""WITH {POSTERIOR}, scored AS (SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 4) AS score,
   sum(qtf * mu) AS mean, sum(qtf * var) AS variance FROM post3 GROUP BY ALL)
 SELECT topic_id, doc_id::VARCHAR AS doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance, 'test' AS tag FROM (SELECT *,
   row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 100""",
@@ -99,7 +99,7 @@ def meanvar_run_round_trip(spark, folder):
         I.prepared_terms(spark, folder),
         models.risk_adjusted(a=2.0),
         k=100,
-        decimals=6,
+        decimals=4,
     )
     path = scratch_path(spark, "run-file")
     sinks.write_run(run, path)

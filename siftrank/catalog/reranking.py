@@ -46,7 +46,7 @@ def _meanvar_hits(spark, folder):
                 I.prepared_terms(spark, folder),
                 models.risk_adjusted(a=2.0),
                 k=_TOP,
-                decimals=6,
+                decimals=4,
             ),
             "rerank-meanvar-hits",
         ),
@@ -129,11 +129,11 @@ def greedy_average_precision_rerank(spark, folder):
 @CATALOG.add(
     "ndcg_objective_rerank",
     f"""WITH {POSTERIOR}, scored AS (
-SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score,
+SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 4) AS score,
   sum(qtf * var) AS variance FROM post3 GROUP BY ALL),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS r FROM scored) WHERE r <= {_TOP}),
-valued AS (SELECT *, round(score + log2(1 + variance * ln(2) * ln(2)), 6) AS v FROM hits)
+valued AS (SELECT *, round(score + log2(1 + variance * ln(2) * ln(2)), 4) AS v FROM hits)
 SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY (r = 1) DESC, v DESC, doc_id) AS rank FROM valued""",
 )
 def ndcg_objective_rerank(spark, folder):
-    return _new_order(R.ndcg_order(_meanvar_hits(spark, folder)))
+    return _new_order(R.ndcg_order(_meanvar_hits(spark, folder), decimals=4))

@@ -32,14 +32,14 @@ def _matched(expr: str) -> str:
 FROM qt JOIN lex USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY ALL"""
 
 
-def _register_model(name: str, model, sql: str, terms=I.prepared_terms) -> None:
+def _register_model(name: str, model, sql: str, terms=I.prepared_terms, decimals=6) -> None:
     def query(spark, folder):
         return S.search(
             I.corpus_index(spark, folder),
             terms(spark, folder),
             model(),
             k=10,
-            decimals=6,
+            decimals=decimals,
         ).select(*_HITS)
 
     CATALOG.add(name, sql)(query)
@@ -98,8 +98,9 @@ _register_model(
     lambda: models.risk_adjusted(a=2.0),
     _top_sql(
         POSTERIOR,
-        "SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score FROM post3 GROUP BY ALL",
+        "SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 4) AS score FROM post3 GROUP BY ALL",
     ),
+    decimals=4,  # scores in the hundred thousands
 )
 _register_model(
     "risk_plain_topk",
@@ -180,7 +181,7 @@ def hit_summary(spark, folder):
     return S.hit_summary(S.rounded(S.score(index, terms, models.bm25())))
 
 
-_MEAN_VAR = """SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 6) AS score,
+_MEAN_VAR = """SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 4) AS score,
   sum(qtf * mu) AS mean, sum(qtf * var) AS variance FROM post3 GROUP BY ALL"""
 
 
@@ -197,15 +198,15 @@ def meanvar_topk(spark, folder):
         models.risk_adjusted(a=2.0),
         k=1000,
         a=2.0,
-        decimals=6,
+        decimals=4,
     ).select(*_HITS, F.round("mean", 3).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
 @CATALOG.add(
     "meanvar_by_mean_topk",
     f"""WITH {POSTERIOR}, scored AS ({_MEAN_VAR}),
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(mean, 6) DESC, doc_id) AS r0 FROM scored) WHERE r0 <= 2000),
-again AS (SELECT topic_id, doc_id, round(mean - 2 * sqrt(variance), 6) AS score, mean, variance FROM cut),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(mean, 4) DESC, doc_id) AS r0 FROM scored) WHERE r0 <= 2000),
+again AS (SELECT topic_id, doc_id, round(mean - 2 * sqrt(variance), 4) AS score, mean, variance FROM cut),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM again)
 SELECT topic_id, doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance FROM ranked WHERE rank <= 100""",
 )
@@ -217,7 +218,7 @@ def meanvar_by_mean_topk(spark, folder):
         k=100,
         rank_by="mean",
         a=2.0,
-        decimals=6,
+        decimals=4,
     ).select(*_HITS, F.round("mean", 3).alias("mean"), F.round("variance", 2).alias("variance"))
 
 

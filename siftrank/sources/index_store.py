@@ -17,9 +17,17 @@ from siftrank.operators.analyze import Analyzer, token_arrays
 from siftrank.operators.index import Index, collection_stats, lexicon, raw_postings
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """One bucket per shuffle partition, the size the cluster was set up for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+# A bucket is scored by one task: this much text each, and never too many files.
+BUCKET_BYTES = 128 << 20
+MAX_BUCKETS = 20_000
+
+
+def default_buckets(documents: DataFrame) -> int:
+    """As many buckets as the planner's size estimate of the input asks for, at
+    least one per core."""
+    estimate = documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = -(-int(str(estimate)) // BUCKET_BYTES)
+    return max(documents.sparkSession.sparkContext.defaultParallelism, min(wanted, MAX_BUCKETS))
 
 
 def index_documents(
@@ -38,7 +46,7 @@ def index_documents(
     tokenized once.
     """
     spark = documents.sparkSession
-    n = buckets or default_buckets(spark)
+    n = buckets or default_buckets(documents)
     texts = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     arrays = token_arrays(texts.repartition(n, "doc_id"), analyzer=analyzer)
     stored = _write_bucketed(raw_postings(arrays, analyzer.stem), f"{path}/postings", n)
@@ -51,7 +59,7 @@ def index_documents(
 def write_index(index: Index, path: str, buckets: int | None = None) -> Index:
     """Store any index (a merged one, say)."""
     spark = index.postings.sparkSession
-    n = buckets or default_buckets(spark)
+    n = buckets or default_buckets(index.postings)
     stored = _write_bucketed(index.postings.repartition(n, "doc_id"), f"{path}/postings", n)
     _by_term(index.lexicon).write.parquet(f"{path}/lexicon")
     index.lengths.write.parquet(f"{path}/lengths")

@@ -34,6 +34,22 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), na_position="last").reset_index(drop=True)
 
 
+DUCK_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+}
+
+
+def type_difference(df, con, sql: str) -> str | None:
+    """Column types that differ between a Spark result and its SQL."""
+    want = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = [
+        f"{name} {DUCK_TYPES.get(kind, kind)} != {want.get(name)}"
+        for name, kind in df.dtypes
+        if DUCK_TYPES.get(kind, kind) != want.get(name)
+    ]
+    return "; ".join(wrong) or None
+
+
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     """None when equal, else what differs first."""
     if sorted(got.columns) != sorted(want.columns):

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import difference, duck
+from compare import difference, duck, type_difference
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -16,10 +16,12 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = QUERIES[name](spark, FOLDER).toPandas()
+    df = QUERIES[name](spark, FOLDER)
+    got = df.toPandas()
     if name not in SQL:
         assert len(got) > 0
         return
+    assert type_difference(df, con, SQL[name]) is None
     assert difference(got, con.execute(SQL[name]).df()) is None
 
 
