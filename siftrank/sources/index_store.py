@@ -17,17 +17,19 @@ from siftrank.operators.analyze import Analyzer, token_arrays
 from siftrank.operators.index import Index, collection_stats, lexicon, raw_postings
 
 
-# A bucket is scored by one task: this much text each, and never too many files.
+# A bucket is scored by one task; this much input makes one.
 BUCKET_BYTES = 128 << 20
-MAX_BUCKETS = 20_000
 
 
-def default_buckets(documents: DataFrame) -> int:
-    """As many buckets as the planner's size estimate of the input asks for, at
-    least one per core."""
-    estimate = documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+def default_buckets(rows: DataFrame) -> int:
+    """As many buckets as the planner's size estimate of the input asks for: at
+    least one per core, at most the shuffle partitions the session is set up for
+    (the estimate of a join can be far too large)."""
+    spark = rows.sparkSession
+    estimate = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     wanted = -(-int(str(estimate)) // BUCKET_BYTES)
-    return max(documents.sparkSession.sparkContext.defaultParallelism, min(wanted, MAX_BUCKETS))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(wanted, most))
 
 
 def index_documents(
