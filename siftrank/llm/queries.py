@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from siftrank.llm import quality
+from siftrank.llm import decontaminate, quality, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.query,
+    "op4_decontamination": decontaminate.query,
     "op5_quality_rules": quality.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontamination": decontaminate.SQL,
+}
