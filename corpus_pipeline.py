@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftrank.llm import decontaminate, quality, simhash
+from siftrank.llm import decontaminate, quality, sanitise, simhash
 from siftrank.llm.common import stored, table
 
 
@@ -27,10 +27,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose it are replaced; every document stays."""
+    return sanitise.sanitise(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("personal_data", personal_data),
 ]
 
 #: The estimates of the first stage, components and token ids are nothing SQL can say

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, quality, simhash
+from siftrank.llm import decontaminate, quality, sanitise, simhash
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op4_decontamination": decontaminate.query,
     "op5_quality_rules": quality.query,
+    "op10_sanitisation": sanitise.query,
 }
 
 SQL: dict[str, str] = {
