@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftrank.llm import decontaminate, quality, sanitise, simhash
+from siftrank.llm import decontaminate, pieces, quality, sanitise, simhash
 from siftrank.llm.common import stored, table
 
 
@@ -32,11 +32,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return sanitise.sanitise(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, with whether decoding gives its text back."""
+    return pieces.encode(docs, pieces.read_model())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("personal_data", personal_data),
+    ("token_ids", token_ids),
 ]
 
 #: The estimates of the first stage, components and token ids are nothing SQL can say

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, quality, sanitise, simhash
+from siftrank.llm import decontaminate, pieces, quality, sanitise, simhash
 
 QUERIES = {
     "op2_simhash": simhash.query,
+    "op3_pieces": pieces.query,
     "op4_decontamination": decontaminate.query,
     "op5_quality_rules": quality.query,
     "op10_sanitisation": sanitise.query,
