@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, pieces, quality, sanitise, simhash
+from siftrank.llm import decontaminate, pieces, quality, sanitise, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op3_pieces": pieces.query,
     "op4_decontamination": decontaminate.query,
     "op5_quality_rules": quality.query,
+    "op8_toxicity": toxicity.query,
     "op10_sanitisation": sanitise.query,
 }
 
