@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, pieces, quality, sanitise, simhash, toxicity
+from siftrank.llm import decontaminate, pages, pieces, quality, sanitise, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op3_pieces": pieces.query,
     "op4_decontamination": decontaminate.query,
     "op5_quality_rules": quality.query,
+    "op6_sharding": sharding.query,
+    "op7_pages": pages.query,
     "op8_toxicity": toxicity.query,
     "op10_sanitisation": sanitise.query,
 }
 
 SQL: dict[str, str] = {
     "op4_decontamination": decontaminate.SQL,
+    "op6_sharding": sharding.SQL,
 }
