@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, pages, pieces, quality, sanitise, sharding, simhash, toxicity
+from siftrank.llm import decontaminate, pages, pieces, quality, repeats, sanitise, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_repeats": repeats.query,
     "op2_simhash": simhash.query,
     "op3_pieces": pieces.query,
     "op4_decontamination": decontaminate.query,
