@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, pages, pieces, quality, repeats, sanitise, sharding, simhash, toxicity
+from siftrank.llm import decontaminate, pages, pieces, quality, repeats, sanitise, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_repeats": repeats.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_pages": pages.query,
     "op8_toxicity": toxicity.query,
+    "op9_secrets": secrets.query,
     "op10_sanitisation": sanitise.query,
 }
 
