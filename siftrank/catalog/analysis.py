@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siftrank.catalog import Catalog
 from siftrank.catalog import inputs as I
 from siftrank.catalog.indexing import STOP
+from siftrank.catalog.stemming import STEMS, TERMS
+from siftrank.functions.stems import with_stems
 from siftrank.operators import analyze as A
 
 CATALOG = Catalog()
@@ -37,10 +39,10 @@ def stop_filtered_tokens(spark, folder):
 
 @CATALOG.add(
     "stop_filtered_by_table",
-    f"{_TOKENS}, p AS ({_POSITIONS}) SELECT doc_id, pos, term FROM p WHERE term NOT IN ({_STOP_SQL})",
+    f"{_KEPT} {_POSITIONS}",
 )
 def stop_filtered_by_table(spark, folder):
-    """The list as a table: positions keep the places of the words taken out."""
+    """The list as a table; positions are those of the tokens kept."""
     words = spark.createDataFrame([(w,) for w in STOP], "term string")
     tokens = A.remove_stop_words(A.analyze(I.documents(spark, folder)), words)
     return tokens.select("doc_id", "pos", "term")
@@ -56,14 +58,16 @@ def stop_filtered_folded(spark, folder):
     return A.analyze(I.documents(spark, folder), analyzer=chain)
 
 
-@CATALOG.add("stemmed_vocabulary")
-def stemmed_vocabulary(spark, folder):
-    """(term, stem) of every distinct term; stems have no SQL form."""
-    terms = I.corpus_index(spark, folder).lexicon.select("term")
-    return A.stem_tokens(terms.withColumn("stem", F.col("term")), "stem")
+CATALOG.add("stemmed_vocabulary", rf"{TERMS}, {STEMS} SELECT term, stem FROM stems")(
+    lambda spark, folder: with_stems(I.corpus_index(spark, folder).lexicon.select("term"))
+)
 
 
-@CATALOG.add("stemmed_tokens")
+@CATALOG.add(
+    "stemmed_tokens",
+    f"{_KEPT}, p AS ({_POSITIONS}), voc AS MATERIALIZED (SELECT DISTINCT term FROM p), {STEMS} "
+    "SELECT doc_id, pos, stem AS term FROM p JOIN stems USING (term) WHERE pos < 10000",
+)
 def stemmed_tokens(spark, folder):
     chain = A.Analyzer(stop_words=STOP, stem=True, max_tokens=10_000)
     return A.analyze(I.documents(spark, folder), analyzer=chain)

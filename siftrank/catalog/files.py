@@ -48,7 +48,7 @@ def read_compressed_documents(spark, folder):
 
 @CATALOG.add(
     "read_topics",
-    r"""SELECT item_id AS topic_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title,
+    r"""SELECT item_id::VARCHAR AS topic_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title,
   regexp_replace(text, '^\s+|\s+$', '', 'g') AS description FROM benchmark""",
 )
 def read_topics(spark, folder):
@@ -78,7 +78,7 @@ def read_judgements(spark, folder):
 
 @CATALOG.add(
     "run_round_trip",
-    f"WITH {I.BM25_RUN} SELECT topic_id, doc_id::VARCHAR AS doc_id, rank, score, 'test' AS tag FROM run WHERE rank <= 100",
+    f"WITH {I.BM25_RUN} SELECT topic_id::VARCHAR AS topic_id, doc_id::VARCHAR AS doc_id, rank, score, 'test' AS tag FROM run",
 )
 def run_round_trip(spark, folder):
     path = scratch_path(spark, "run-file")
@@ -90,15 +90,15 @@ def run_round_trip(spark, folder):
     "meanvar_run_round_trip",
     f"""WITH {POSTERIOR}, scored AS (SELECT topic_id, doc_id, round(sum(qtf * (mu - 2 * sqrt(var))), 4) AS score,
   sum(qtf * mu) AS mean, sum(qtf * var) AS variance FROM post3 GROUP BY ALL)
-SELECT topic_id, doc_id::VARCHAR AS doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance, 'test' AS tag FROM (SELECT *,
-  row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 100""",
+SELECT topic_id::VARCHAR AS topic_id, doc_id::VARCHAR AS doc_id, rank, score, round(mean, 3) AS mean, round(variance, 2) AS variance, 'test' AS tag FROM (SELECT *,
+  row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 1000""",
 )
 def meanvar_run_round_trip(spark, folder):
     run = S.mean_variance_search(
         I.corpus_index(spark, folder),
         I.prepared_terms(spark, folder),
         models.risk_adjusted(a=2.0),
-        k=100,
+        k=1000,
         decimals=4,
     )
     path = scratch_path(spark, "run-file")

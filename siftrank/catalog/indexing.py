@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftrank.catalog import Catalog
 from siftrank.catalog import inputs as I
+from siftrank.catalog.stemming import STEMS, TERMS
 from siftrank.functions.lengths import quantised_length
 from siftrank.operators import index as X
 from siftrank.operators.analyze import Analyzer, analyze
@@ -313,9 +314,20 @@ def index_store_meta(spark, folder):
 STOP = ("der", "die", "und", "the", "and", "of", "to", "les", "des", "que")
 
 
-@CATALOG.add("stemmed_lexicon")
+_STOPPED = ", ".join(f"'{w}'" for w in STOP)
+
+
+@CATALOG.add(
+    "stemmed_lexicon",
+    f"""{TERMS}, {STEMS}, post AS (
+  SELECT stem, doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM documents)
+  JOIN stems USING (term) WHERE term NOT IN ({_STOPPED}))
+SELECT stem AS term, count(DISTINCT doc_id) AS df, count(*) AS ctf FROM post GROUP BY stem""",
+)
 def stemmed_lexicon(spark, folder):
-    """The whole chain with stemming; stems have no SQL form."""
-    return X.build_index(
-        I.documents(spark, folder), analyzer=Analyzer(stop_words=STOP, stem=True)
+    """The whole chain with stemming, stored."""
+    return index_store.index_documents(
+        load(spark, folder, "documents"),
+        scratch_path(spark, "stemmed-index"),
+        analyzer=Analyzer(stop_words=STOP, stem=True),
     ).lexicon

@@ -217,6 +217,7 @@ def meanvar_by_mean_topk(spark, folder):
         models.risk_adjusted(a=2.0),
         k=100,
         rank_by="mean",
+        precut=2000,
         a=2.0,
         decimals=4,
     ).select(*_HITS, F.round("mean", 3).alias("mean"), F.round("variance", 2).alias("variance"))

@@ -102,6 +102,7 @@ def _named() -> Column:
 
 def _decode_piece(piece: Column) -> Column:
     core = F.regexp_replace(piece, "^&#?[xX]?|;$", "")
+    core = F.when(piece.startswith("&#"), F.regexp_replace(core, "^0+(?=.)", "")).otherwise(core)
     hexadecimal = piece.rlike("^&#[xX]")
     numeric = piece.startswith("&#") & (F.length(piece) > 2)
     code = F.when(hexadecimal, F.lpad(core, 8, "0")).otherwise(

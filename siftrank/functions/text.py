@@ -1,23 +1,16 @@
-"""Tokenizing, stop words and stemming on columns."""
+"""Tokenizing and stop words on columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
-
-from siftrank.functions.porter import stem_word
 
 # Fixed value: a token is a run of letters, cut into pieces of at most 255.
 LETTER_RUN = r"(\p{L}{1,255})"
 # The same runs and everything between them, for offsets.
 LETTER_RUN_OR_GAP = r"(\p{L}{1,255}|[^\p{L}]+)"
 
-# Beyond this many words a stop list should be a DataFrame, not a literal.
-MAX_LITERAL_STOP_WORDS = 5_000
-
 
 def letter_tokens(text: Column) -> Column:
     """Lower-cased runs of letters, in text order."""
@@ -34,8 +27,6 @@ TOKENIZERS = {"letters": letter_tokens, "whitespace": whitespace_tokens}
 
 def without_words(tokens: Column, words: Sequence[str], ignore_case: bool = False) -> Column:
     """The token array with every token found in ``words`` taken out."""
-    if len(words) > MAX_LITERAL_STOP_WORDS:
-        raise ValueError("long stop lists belong in a DataFrame; see remove_stop_words")
     if ignore_case:
         folded = [w.lower() for w in words]
         return F.filter(tokens, lambda t: ~F.lower(t).isin(folded))
@@ -47,11 +38,3 @@ def default_stop_words() -> list[str]:
     from pyspark.ml.feature import StopWordsRemover
 
     return StopWordsRemover.loadDefaultStopWords("english")
-
-
-@F.pandas_udf(StringType())
-def porter_stem(terms: pd.Series) -> pd.Series:
-    """Porter stems. Each distinct term of an Arrow batch is stemmed once."""
-    codes, distinct = pd.factorize(terms)
-    stems = [stem_word(t) for t in distinct] + [None]  # code -1 (NULL) takes the last one
-    return pd.Series([stems[c] for c in codes], index=terms.index, dtype=object)

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from siftrank.functions import text as T
+from siftrank.functions.stems import with_stems
+from siftrank.session import write_and_reload
 
 
 class Analyzer(NamedTuple):
@@ -24,7 +26,7 @@ def token_arrays(
     df: DataFrame, text: str = "text", id: str = "doc_id", analyzer: Analyzer = Analyzer()
 ) -> DataFrame:
     """(doc_id, tokens): tokenized, stop words out, capped. Stemming comes later,
-    on exploded rows, where it is vectorised; it never changes a length."""
+    on the vocabulary; it never changes a length."""
     tokens = T.TOKENIZERS[analyzer.tokenizer](F.coalesce(F.col(text), F.lit("")))
     if analyzer.stop_words:
         tokens = T.without_words(tokens, analyzer.stop_words, analyzer.ignore_case)
@@ -36,7 +38,7 @@ def token_arrays(
 def analyze(
     df: DataFrame, text: str = "text", id: str = "doc_id", analyzer: Analyzer = Analyzer()
 ) -> DataFrame:
-    """(doc_id, pos, term). Positions count the tokens kept. No shuffle."""
+    """(doc_id, pos, term). Positions count the tokens kept. No shuffle without stemming."""
     rows = token_arrays(df, text, id, analyzer).select(
         "doc_id", F.posexplode("tokens").alias("pos", "term")
     )
@@ -44,15 +46,28 @@ def analyze(
 
 
 def stem_tokens(tokens: DataFrame, term: str = "term") -> DataFrame:
-    return tokens.withColumn(term, T.porter_stem(F.col(term)))
+    """Token rows with stems in place of terms; only the vocabulary is stemmed."""
+    stems = stem_vocabulary(tokens.select(F.col(term).alias("_term")), "_term", "_stem")
+    joined = tokens.join(stems, F.col(term) == F.col("_term"), "left")
+    return joined.withColumn(term, F.col("_stem")).drop("_term", "_stem")
+
+
+def stem_vocabulary(terms: DataFrame, term: str = "term", stem: str = "stem") -> DataFrame:
+    """Each distinct term with its stem, written once: a condition on a stem, such as
+    that of a join, would otherwise be pushed down through all the steps that make it."""
+    distinct = terms.where(F.col(term).isNotNull()).select(term).distinct()
+    return write_and_reload(with_stems(distinct, term, stem), "stems")
 
 
 def remove_stop_words(tokens: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Stop filter for a list held as a DataFrame (one column, ``term``).
 
-    Spark broadcasts the list when it is under the broadcast threshold.
+    Positions count the tokens kept, as with a list in the analyzer; the window
+    that counts them holds one document at a time.
     """
-    return tokens.join(stop_words.select("term").distinct(), "term", "left_anti")
+    kept = tokens.join(stop_words.select("term").distinct(), "term", "left_anti")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1
+    return kept.withColumn("pos", place)
 
 
 def token_offsets(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

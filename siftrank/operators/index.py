@@ -12,8 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftrank.functions.lengths import quantised_length
-from siftrank.functions.text import porter_stem
-from siftrank.operators.analyze import Analyzer, token_arrays
+from siftrank.operators.analyze import Analyzer, stem_vocabulary, token_arrays
 
 
 class Index(NamedTuple):
@@ -35,16 +34,23 @@ def raw_postings(arrays: DataFrame, stem: bool = False) -> DataFrame:
     without a term when the document is empty. Selecting the lead rows gives
     the lengths table with neither a second pass over the text nor a shuffle.
     """
-    rows = arrays.select(
-        "doc_id",
-        F.size("tokens").cast("long").alias("dl"),
-        F.posexplode_outer("tokens").alias("pos", "term"),
+    rows = arrays.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens").select(
+        "doc_id", "dl", F.posexplode_outer("tokens").alias("pos", "term")
     )
-    if stem:
-        rows = rows.withColumn("term", porter_stem(F.col("term")))
-    return rows.groupBy("term", "doc_id", "dl").agg(
+    counts = rows.groupBy("term", "doc_id", "dl").agg(
         F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("lead")
     )
+    return stemmed_postings(counts) if stem else counts
+
+
+def stemmed_postings(counts: DataFrame) -> DataFrame:
+    """Counts of terms as counts of stems. The vocabulary alone is stemmed, and what
+    is joined and summed again is a document's distinct terms, not its tokens."""
+    stems = stem_vocabulary(counts)
+    return (
+        counts.join(stems, "term", "left").groupBy(F.col("stem").alias("term"), "doc_id", "dl")
+        .agg(F.sum("tf").alias("tf"), F.max("lead").alias("lead"))
+    )
 
 
 def lexicon(postings: DataFrame) -> DataFrame:

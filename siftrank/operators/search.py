@@ -303,23 +303,21 @@ def mean_variance_search(
     k: int = 1000,
     rank_by: str = "score",
     a: float = 0.0,
-    precut: int = 2000,
+    precut: int | None = None,
     decimals: int | None = None,
 ) -> DataFrame:
     """Score, mean and variance per hit.
 
-    The best ``precut`` by score (or by mean) stay, then the top ``k`` by score
-    (or by ``mean - a * sd``).
+    The top ``k`` by score, or by ``mean - a * sd`` among the best ``precut`` by mean
+    (all, if there is no ``precut``).
     """
     settle = (lambda c: F.col(c)) if decimals is None else (lambda c: F.round(c, decimals))
     scored = score(index, query_terms, model)
     if rank_by == "mean":
-        scored = top_k(scored, precut, order=[settle("mean").desc(), F.col("doc_id").asc()])
+        if precut is not None:
+            scored = top_k(scored, precut, order=[settle("mean").desc(), F.col("doc_id").asc()]).drop("rank")
         scored = scored.withColumn("score", F.col("mean") - F.lit(float(a)) * F.sqrt("variance"))
-        scored = scored.withColumn("score", settle("score"))
-    else:
-        scored = top_k(scored.withColumn("score", settle("score")), precut)
-    return top_k(scored.drop("rank"), k)
+    return top_k(scored.withColumn("score", settle("score")), k)
 
 
 def per_term_search(index: Index, query_terms: DataFrame, model: Model) -> DataFrame:

@@ -44,11 +44,11 @@ def read_documents(spark: SparkSession, path: str, end: str = "</DOC>") -> DataF
 
 def read_topics(spark: SparkSession, path: str, end: str = "</top>") -> DataFrame:
     """(topic_id, title, description). The description is what lies between the
-    ``<desc>`` line and the ``<narr>`` line."""
+    ``<desc>`` line and the ``<narr>`` line. Ids are strings; numbers come first."""
     return (
         _records(spark, path, end)
         .select(
-            F.expr("try_cast(trim(regexp_extract(value, '(?im)^<num>(?:[^:\\\\n]*:)?([^\\\\n]*)', 1)) AS bigint)").alias("topic_id"),
+            F.trim(F.regexp_extract("value", r"(?im)^<num>(?:[^:\n]*:)?([^\n]*)", 1)).alias("topic_id"),
             F.trim(F.regexp_extract("value", r"(?im)^<title>([^\n]*)", 1)).alias("title"),
             F.trim(
                 F.regexp_replace(
@@ -58,8 +58,8 @@ def read_topics(spark: SparkSession, path: str, end: str = "</top>") -> DataFram
                 )
             ).alias("description"),
         )
-        .where(F.col("topic_id").isNotNull())
-        .orderBy("topic_id")
+        .where(F.col("topic_id") != "")
+        .orderBy(F.expr("try_cast(topic_id AS bigint)").asc_nulls_last(), "topic_id")
     )
 
 
@@ -81,13 +81,13 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("topic_id", "doc_id").agg(F.max_by("relevant", "at").alias("relevant"))
 
 
-def read_run(spark: SparkSession, path: str, depth: int | None = 100) -> DataFrame:
+def read_run(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
     """(topic_id, doc_id, rank, score, tag[, mean, variance]) of a run file, cut at
-    ``depth``. Ranks are 0-based in the file and 1-based in the table."""
+    ``depth`` if there is one. Ranks are 0-based in the file and 1-based in the table."""
     f = F.col("f")
     wide = F.size("f") >= 8
     rows = _fields(_lines(spark, path)).select(
-        f[0].cast("long").alias("topic_id"),
+        f[0].alias("topic_id"),
         f[2].alias("doc_id"),
         (f[3].cast("int") + 1).alias("rank"),
         f[4].cast("double").alias("score"),

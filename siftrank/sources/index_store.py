@@ -14,22 +14,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftrank.operators.analyze import Analyzer, token_arrays
-from siftrank.operators.index import Index, collection_stats, lexicon, raw_postings
+from siftrank.operators.index import Index, collection_stats, lexicon, raw_postings, stemmed_postings
+from siftrank.session import write_and_reload
 
 
-# A bucket is scored by one task; this much input makes one.
-BUCKET_BYTES = 128 << 20
-
-
-def default_buckets(rows: DataFrame) -> int:
-    """As many buckets as the planner's size estimate of the input asks for: at
-    least one per core, at most the shuffle partitions the session is set up for
-    (the estimate of a join can be far too large)."""
-    spark = rows.sparkSession
-    estimate = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    wanted = -(-int(str(estimate)) // BUCKET_BYTES)
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, min(wanted, most))
+def default_buckets(spark: SparkSession) -> int:
+    """As many buckets as the session has shuffle partitions. A bucket is scored by
+    one task, so a large collection asks for its number of ``buckets``."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def index_documents(
@@ -48,10 +40,13 @@ def index_documents(
     tokenized once.
     """
     spark = documents.sparkSession
-    n = buckets or default_buckets(documents)
+    n = buckets or default_buckets(spark)
     texts = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     arrays = token_arrays(texts.repartition(n, "doc_id"), analyzer=analyzer)
-    stored = _write_bucketed(raw_postings(arrays, analyzer.stem), f"{path}/postings", n)
+    counts = raw_postings(arrays)
+    if analyzer.stem:  # written first: the vocabulary and the join both read the counts
+        counts = stemmed_postings(write_and_reload(counts, "counts")).repartition(n, "doc_id")
+    stored = _write_bucketed(counts, f"{path}/postings", n)
     _by_term(lexicon(stored.where(F.col("term").isNotNull()))).write.parquet(f"{path}/lexicon")
     stored.where("lead").select("doc_id", "dl").write.parquet(f"{path}/lengths")
     collection_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/stats")
@@ -61,7 +56,7 @@ def index_documents(
 def write_index(index: Index, path: str, buckets: int | None = None) -> Index:
     """Store any index (a merged one, say)."""
     spark = index.postings.sparkSession
-    n = buckets or default_buckets(index.postings)
+    n = buckets or default_buckets(spark)
     stored = _write_bucketed(index.postings.repartition(n, "doc_id"), f"{path}/postings", n)
     _by_term(index.lexicon).write.parquet(f"{path}/lexicon")
     index.lengths.write.parquet(f"{path}/lengths")

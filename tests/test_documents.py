@@ -45,7 +45,7 @@ def test_long_tags_do_not_overflow(spark):
 
 @pytest.mark.parametrize(
     "text, want",
-    [("a & b", "a & b"), ("&lt;p&gt;", "<p>"), ("&#55296;&#1114112;&#x1F600;", "\U0001F600"), ("&", "&")],
+    [("a & b", "a & b"), ("&lt;p&gt;", "<p>"), ("&#55296;&#1114112;&#x1F600;", "\U0001F600"), ("&", "&"), ("&#000000065;&#x0000000042;&#0;", "AB\0")],
 )
 def test_entities(spark, text, want):
     assert one(spark, H.decode_entities, text) == want

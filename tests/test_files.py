@@ -18,10 +18,10 @@ def test_trec_documents_in_folders(spark, tmp_path):
 
 def test_topics(spark, tmp_path):
     top = "<top>\n\n<num> Number: {n}\n<title> {t}\n\n<desc> Description:\nWhat is\nasked?\n\n<narr> Narrative:\nMore.\n\n</top>\n"
-    (tmp_path / "t").write_text(top.format(n=450, t="King Hussein, peace") + top.format(n=303, t="Hubble"))
+    (tmp_path / "t").write_text(top.format(n=450, t="King Hussein, peace") + top.format(n="401a", t="Hubble") + top.format(n=1000, t="x"))
     rows = files.read_topics(spark, str(tmp_path / "t")).collect()
     assert [(r.topic_id, r.title, r.description) for r in rows] == [
-        (303, "Hubble", "What is\nasked?"), (450, "King Hussein, peace", "What is\nasked?"),
+        ("450", "King Hussein, peace", "What is\nasked?"), ("1000", "x", "What is\nasked?"), ("401a", "Hubble", "What is\nasked?"),
     ]
 
 
@@ -36,7 +36,8 @@ def test_runs(spark, tmp_path):
     sinks.write_run(run, str(tmp_path / "r"), compression="gzip")
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["1\tQ0\td1\t0\t0.5\ttest", "1\tQ0\td2\t1\t0.25\ttest"]
     back = files.read_run(spark, str(tmp_path / "r"), depth=1).collect()
-    assert [(r.topic_id, r.doc_id, r["rank"], r.score) for r in back] == [(1, "d1", 1, 0.5)]
+    assert [(r.topic_id, r.doc_id, r["rank"], r.score) for r in back] == [("1", "d1", 1, 0.5)]
+    assert files.read_run(spark, str(tmp_path / "r")).count() == 2
     line = sinks.report_lines(run, "name").first().value
     assert line == "1 \t Q0 \t d1" + " " * 18 + " \t 0" + " " * 6 + " \t 0.5000 \t name"
 

@@ -1,9 +1,12 @@
+import random
+
 import pytest
+from porter_words import stem_word
 from pyspark.sql import functions as F
 
 from siftrank.functions import text as T
 from siftrank.functions.lengths import quantised_length
-from siftrank.functions.porter import stem_word
+from siftrank.functions.stems import with_stems
 from siftrank.operators import analyze as A
 
 
@@ -75,9 +78,36 @@ def test_porter_pairs():
 
 
 def test_stemming_a_column(spark):
-    df = spark.createDataFrame([("ponies",), (None,), ("cats",), ("ponies",)], "t string")
-    stems = [r.s for r in df.coalesce(1).select(T.porter_stem("t").alias("s")).collect()]
-    assert stems == ["poni", None, "cat", "poni"]
+    rng = random.Random(1)
+    ends = ["ational", "ed", "ing", "eed", "iviti", "ousness", "ement", "ion", "ll", "y", "ies", "sses", "yy", "e", ""]
+    words = ["".join(rng.choice("aeioyylstbdngr") for _ in range(rng.randint(1, 6))) + rng.choice(ends) for _ in range(3000)]
+    words += [*PORTER, "yyy", "é", "sky", None]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = with_stems(df, "t", "s").collect()
+    assert len(got) == len(words) and all(r.s == (stem_word(r.t) if r.t else r.t) for r in got)
+
+
+def test_stemmed_postings_keep_no_array_beside_tokens(spark):
+    from siftrank.operators.index import build_index
+
+    docs = spark.createDataFrame([(1, "ponies pony cats"), (2, ""), (3, "cat")], "doc_id long, text string")
+    index = build_index(docs, analyzer=A.Analyzer(stem=True))
+    assert {(r.term, r.doc_id): (r.tf, r.dl) for r in index.postings.collect()} == {
+        ("poni", 1): (2, 3), ("cat", 1): (1, 3), ("cat", 3): (1, 1)
+    }
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    generates = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert generates and all("[doc_id" in line and "tokens#" not in line.split("), [", 1)[-1] for line in generates)
+
+
+def test_long_stop_lists_number_the_tokens_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    stop = [f"x{k}" for k in range(10_000)] + ["b", "d"]
+    short = A.analyze(docs, analyzer=A.Analyzer(stop_words=stop)).collect()
+    table = spark.createDataFrame([(w,) for w in stop], "term string")
+    long = A.remove_stop_words(A.analyze(docs), table).select("doc_id", "pos", "term").orderBy("pos").collect()
+    assert [tuple(r) for r in short] == [tuple(r) for r in long] == [(1, 0, "a"), (1, 1, "c"), (1, 2, "e")]
 
 
 def test_quantised_lengths(spark):
