@@ -10,7 +10,7 @@ from siftrank.catalog import Catalog
 from siftrank.catalog import inputs as I
 from siftrank.functions import dates, html as H
 from siftrank.operators import extract as X
-from siftrank.sources.tables import load, load_spread
+from siftrank.sources.tables import load, load_by
 
 CATALOG = Catalog()
 
@@ -66,7 +66,7 @@ def _body(sql: str, with_title: bool = True) -> str:
     f"SELECT page_id AS doc_id, {_title('html')} AS title, {_body('html')} AS body FROM pages",
 )
 def page_text(spark, folder):
-    return X.extract_pages(load_spread(spark, folder, "pages")).select("doc_id", "title", "body")
+    return X.extract_pages(load_by(spark, folder, "pages", "page_id")).select("doc_id", "title", "body")
 
 
 @CATALOG.add(
@@ -96,7 +96,7 @@ s AS (SELECT doc_id, title, trim(substring(body, 1, 200)) AS s FROM t)
 SELECT doc_id, CASE WHEN s = '' OR (title <> '' AND starts_with(s, title)) THEN title ELSE s END AS summary FROM s""",
 )
 def page_summary(spark, folder):
-    return X.page_summaries(load_spread(spark, folder, "pages"))
+    return X.page_summaries(load_by(spark, folder, "pages", "page_id"))
 
 
 @CATALOG.add("document_chunks")

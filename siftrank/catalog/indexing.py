@@ -12,7 +12,7 @@ from siftrank.operators import index as X
 from siftrank.operators.analyze import Analyzer, analyze
 from siftrank.session import scratch_path
 from siftrank.sources import index_store
-from siftrank.sources.tables import load, load_spread
+from siftrank.sources.tables import load, load_by
 
 CATALOG = Catalog()
 
@@ -97,7 +97,7 @@ tv AS (SELECT doc_id, term, count(*) AS tf FROM fields GROUP BY ALL)"""
 
 
 def _conversation_vectors(spark, folder):
-    turns = load_spread(spark, folder, "conversations")
+    turns = load_by(spark, folder, "conversations", "conv_id")
     fields = [
         X.term_frequencies(analyze(turns, field, "conv_id")) for field in ("text", "role")
     ]
@@ -259,7 +259,7 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS ctf FROM kept GROUP BY term""",
 )
 def updated_lexicon(spark, folder):
     # One document per conversation: the words of all its turns.
-    turns = load_spread(spark, folder, "conversations").withColumn("doc_id", -1 - F.col("conv_id"))
+    turns = load_by(spark, folder, "conversations", "conv_id").withColumn("doc_id", -1 - F.col("conv_id"))
     fresh = X.index_from_frequencies(X.term_frequencies(analyze(turns)), turns)
     index = I.corpus_index(spark, folder)
     return X.update_documents(index, ["der"], fresh).lexicon

@@ -21,7 +21,7 @@ from siftrank.operators import evaluate, recommend, search
 from siftrank.operators.index import Index
 from siftrank.session import scratch_path, write_and_reload
 from siftrank.sources.index_store import index_documents
-from siftrank.sources.tables import load, load_spread
+from siftrank.sources.tables import load, load_by
 
 _built: dict[tuple[str, str, str], object] = {}
 
@@ -34,7 +34,7 @@ def once(spark: SparkSession, folder: str, label: str, build: Callable[[], objec
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return load_spread(spark, folder, "documents")
+    return load_by(spark, folder, "documents", "doc_id")
 
 
 def topics(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,14 +10,10 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table whose rows are costly to process (text, pages).
+def load_by(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """One table whose rows are costly to process, dealt out by ``key``.
 
-    A file with a single row group is read by one task. When the scan has fewer
-    tasks than the session has cores, rows are dealt out first; a large table
-    has many splits and is left alone.
+    A row group is read by one task, however long its texts are. What is then summed
+    or numbered within a key needs no other exchange.
     """
-    df = load(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return load(spark, folder, name).repartition(key)
