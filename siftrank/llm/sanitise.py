@@ -15,21 +15,21 @@ numbers and capitalised words are generalised to what they are, others removed.
 
 Every count is an aggregate with map-side sums. What a document adds is bounded by its
 entities; frequent terms and entities are counted, never gathered. The terms asked about
-are broadcast if there are no more than ``BROADCAST_TERMS``, by count; otherwise Spark
+are sent along with the tasks if there are no more than ``BROADCAST_TERMS``, by count; otherwise Spark
 shuffles.
 
-Null texts are empty. Rows alike in doc_id and text are one document in all counts and
-each get their row. Empty tables give empty results.
+Null texts are empty. Repeated rows count as often as they occur, and each gets its row. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from siftrank.llm.common import by_batch, carried, row_key, sha256_hex, stored, table, text_of
@@ -38,7 +38,7 @@ KINDS = ("email", "ip", "card", "phone")
 REACH = 8
 SUPPORT = 3
 THRESHOLD = 0.8
-BROADCAST_TERMS = 1_000_000
+BROADCAST_TERMS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -141,31 +141,57 @@ def detect(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
 
 def disclosing_terms(detected: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(entity, term)`` above the threshold, with their ``disclosure``."""
-    near = detected.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.around", "x.term").distinct()
+    def each(*parts: str) -> DataFrame:
+        """A row for each document and different combination of these parts in it."""
+        combined = F.transform("near", lambda x: F.struct(*[x[part].alias(part) for part in parts]))
+        return detected.select(F.explode(F.array_distinct(combined)).alias("x")).select("x.*")
+
+    total = float(detected.count())
+
+    def told(n_term: str) -> Column:
+        both, entity = F.col("n_both"), F.col("n_entity")
+        return F.log(both * F.lit(total) / (entity * F.col(n_term))) / F.log(F.lit(total) / entity)
+
+    contexts = each("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    both = each("entity", "term").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    entities = each("entity").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # a term is held by all documents that hold it near some entity: a bound that rules most pairs out
+    at_least = each("term").groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = stored(
-        near.groupBy("entity", "term").agg(
-            F.countDistinct("key").alias("n_both"), F.countDistinct("around").alias("contexts")
-        ).where(F.col("contexts") >= SUPPORT),
+        # an entity of all documents has no information to give away
+        contexts.where(F.col("contexts") >= SUPPORT).join(both, ["entity", "term"])
+        .join(entities, "entity").where(F.col("n_entity") < total)
+        .join(at_least, "term").where(told("n_near") >= THRESHOLD),
         "pairs",
     )
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    asked = pairs.select("term").distinct()
+    asked = stored(pairs.select("term").distinct(), "asked")
+    words = docs.select(text_of().alias("text"))
     if asked.count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    words = docs.select(row_key().alias("key"), F.explode(F.regexp_extract_all(text_of(), F.lit(_TERM), F.lit(0))).alias("term"))
-    holding = words.join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(detected.select("key").distinct().count()))
-    told = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / F.log(total / F.col("n_entity"))
+        counts = by_batch(words, _holding({row["term"] for row in asked.collect()}), "term string, n long")
+        terms = counts.groupBy("term").agg(F.sum("n").alias("n_term"))
+    else:
+        held = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))))
+        terms = words.select(held.alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     return (
-        pairs.join(entities, "entity").join(holding, "term")
-        # an entity of all documents has no information to give away
-        .where(F.col("n_entity") < total)
-        .withColumn("disclosure", told)
-        .where(F.col("disclosure") >= THRESHOLD)
-        .select("entity", "term", "disclosure")
+        pairs.join(terms, "term").withColumn("disclosure", told("n_term"))
+        .where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
     )
 
 
+def _holding(asked: set[str]):
+    """In how many texts of a batch each term asked about occurs."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: Counter = Counter()
+        for text in batch.column("text").to_pylist():
+            counts.update(asked.intersection(_TERMS.findall(text)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+        )
+
+    return run
+
+
 def term_spans(detected: DataFrame, docs: DataFrame) -> DataFrame:
     """For each ``key`` with disclosing terms, their places ``terms``, by start."""
     flagged = disclosing_terms(detected, docs)
