@@ -101,8 +101,12 @@ def _masked(masks: Sequence[int]) -> Column:
 
 
 def spanning_forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that connect what the links of all pairs of ``values`` connect."""
-    left, links = values, []
+    """Links that connect what the links of all pairs of ``values`` connect.
+
+    ``values`` are signed, as Spark has them; bits are counted without a sign, since
+    ``bitwise_count`` counts those of the absolute value.
+    """
+    left, links = values.view(np.uint64), []
     while len(left):
         reached, left = [left[0]], left[1:]
         while reached and len(left):
@@ -110,7 +114,7 @@ def spanning_forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
             near = np.bitwise_count(left ^ value) <= radius
             if near.any():
                 found = left[near]
-                links += [(int(value), int(other)) for other in found]
+                links += [(_signed(int(value)), _signed(int(other))) for other in found]
                 reached.extend(found)
                 left = left[~near]
     return links

@@ -142,6 +142,26 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert [roots.get(v, v) for v in values] == brute_components(values, values)
 
 
+@pytest.mark.parametrize("crowded", [4, simhash.CROWDED])
+def test_buckets_lose_no_link_in_any_bit(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = random.Random(11)
+    values = {rng.getrandbits(64)}
+    for _ in range(120):
+        flipped = rng.sample(range(63), rng.randint(0, 4)) + [63] * rng.randint(0, 1)
+        values.add(rng.choice(sorted(values)) ^ sum(1 << b for b in flipped))
+    values = sorted(v - (v >> 63 << 64) for v in values)
+    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    assert [roots.get(v, v) for v in values] == brute_components([v % (1 << 64) for v in values], values)
+
+
+def test_spanning_forest_counts_bit_63():
+    near = np.array([0, -(1 << 63) | 1, -(1 << 63) | 1 << 10], dtype=np.int64)
+    assert len(simhash.spanning_forest(near)) == 2
+    assert len(simhash.spanning_forest(np.array([0, -(1 << 63) | 0b1111], dtype=np.int64))) == 0
+
+
 def test_components_of_a_chain_and_loops(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
