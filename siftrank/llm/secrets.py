@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, sorted by a random forest into secrets and others.
 
-A candidate is a run of 16 or more key characters that holds a digit or mixes cases. Its
+A candidate is a run of key characters that holds a digit or mixes cases, and is 16 or more
+long or, at any length, what a name is set to. A word gives all of its runs. A candidate's
 features are its length, how often the kind of character changes from one to the next and
 how usual its pairs of characters are in the corpus's words, the share of it that dictionary
 words cover (words that the corpus uses often), what stands before it in its own word, and
@@ -32,7 +33,25 @@ TREES, DEPTH, SEED = 24, 8, 42
 DICTIONARY_USES = 50
 SMOOTHING = 4.0
 
-_RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+_KEY = "[A-Za-z0-9_+/-]"
+#: ``=`` is padding only where no key character follows.
+_PADDING = r"(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
+#: A name and an assignment sign, right before a run of any length.
+_SET = r"(?<=[A-Za-z_][0-9]{0,3}[\"'`)\]]?[:=][:=>]?[\"'`]?)"
+#: The start of a word, for words that follow an assignment sign.
+_FIRST = r"(?<=^[\"'`]?)"
+_ASSIGNMENT = r"[:=]>?$"
+
+
+def _runs(set_by: str) -> Column:
+    """All runs of ``word`` in order, each with the ``gap`` since the one before."""
+    run = rf"{_KEY}{{16,}}+{_PADDING}|{set_by}(?!//){_KEY}++{_PADDING}"
+    pattern = F.lit(rf"(?s)\G(.*?)({run})")  # \G: what follows the last run is looked at once
+    return F.arrays_zip(
+        F.regexp_extract_all("word", pattern, F.lit(1)).alias("gap"),
+        F.regexp_extract_all("word", pattern, F.lit(2)).alias("run"),
+    )
+
 
 FEATURES = [
     "length", "digits", "uppers", "hexes", "switches", "pair_rate", "coverage", "assigned", "quoted", "before_rate", "after_rate", "path_rate",
@@ -53,10 +72,15 @@ def _words(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Candidates with their place, what leads up to them and the words around."""
-    run = F.regexp_extract("word", _RUN, 0)
-    found = _words(docs).where((F.length("word") >= 16) & F.col("word").rlike(_RUN)).withColumn("finding", run)
+    follows = F.coalesce(F.col("before").rlike(_ASSIGNMENT), F.lit(False))
+    short = follows | F.col("word").rlike("[:=]")
+    held = _words(docs).where((F.length("word") >= 16) | short)
+    runs = F.when(follows, _runs(f"(?:{_SET}|{_FIRST})")).otherwise(_runs(_SET))
+    found = held.withColumn("runs", runs).select("*", F.posexplode("runs").alias("place", "r"))
+    last = F.when(F.col("place") > 0, F.get("runs", F.col("place") - 1)["run"]).otherwise("")
+    found = found.withColumn("finding", F.col("r.run")).withColumn("lead", F.lower(F.concat(last, F.col("r.gap"))))
     mixed = F.col("finding").rlike("[0-9]") | F.col("finding").rlike("[a-z].*[A-Z]")
-    return found.where(mixed).withColumn("lead", F.lower(F.regexp_extract("word", r"^(.*?)" + _RUN, 1)))
+    return found.where(mixed).drop("runs", "r")
 
 
 def dictionary(docs: DataFrame, uses: int = DICTIONARY_USES) -> DataFrame:
@@ -135,7 +159,7 @@ def scan(docs: DataFrame, label: Column) -> DataFrame:
     words = stored(dictionary(docs), "dictionary")
     rows = stored(with_features(stored(candidates(docs), "candidates"), words).withColumn("label", label.cast("double")), "findings")
     order = F.xxhash64("finding", "doc_id", "pos")
-    labelled = stored(rows.where(F.col("label").isNotNull()).orderBy(order, "finding", "doc_id", "pos").limit(TRAINING), "labelled")
+    labelled = stored(rows.where(F.col("label").isNotNull()).orderBy(order, "finding", "doc_id", "pos", "place").limit(TRAINING), "labelled")
     known = labelled.agg(F.avg("label"), F.countDistinct("label")).first()
     base = known[0] or 0.0
     for by, name in (("cue", "before_rate"), ("after", "after_rate"), ("path", "path_rate")):

@@ -376,6 +376,26 @@ def test_forest_tells_findings(spark):
     assert len(got) == 120 and all(r["is_secret"] == (r["doc_id"] < 100) for r in got)
 
 
+def test_all_runs_of_a_word_are_candidates(spark):
+    aws, token = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ghp_" + "a1B2" * 9
+    ids = [f"{k:016x}" for k in range(300)]
+    texts = {
+        1: (f"export AWS_SECRET_ACCESS_KEY={aws} now", [aws]),
+        2: (f"see https://example.com/reference/manual?token={token} there", [token]),
+        3: (f'{{"id":"{ids[7]}","secret":"{token}"}}', [ids[7], token]),
+        4: (";".join(ids), ids),
+        5: ("password=hunter2 x", ["hunter2"]),
+        6: ("password: hunter2 or 'pin' = \"a1\" x", ["hunter2", "a1"]),
+        7: ("at 12:30 and 4x4, short1 is no value, https://a1.example/b2", []),
+        8: ("padded QUJDREVGR0hJSktMTU5PUA== end", ["QUJDREVGR0hJSktMTU5PUA=="]),
+    }
+    docs = spark.createDataFrame([(k, t, "s") for k, (t, _) in texts.items()], "doc_id long, text string, source string")
+    rows = secrets.candidates(docs).orderBy("doc_id", "pos", "place").collect()
+    assert {k: [r["finding"] for r in rows if r["doc_id"] == k] for k in texts} == {k: want for k, (_, want) in texts.items()}
+    lead = {(r["doc_id"], r["finding"]): r["lead"] for r in rows}
+    assert lead[1, aws] == "aws_secret_access_key=" and lead[3, token] == ids[7] + '","secret":"' and lead[5, "hunter2"] == "password="
+
+
 def test_no_findings_without_labels(spark):
     docs = spark.createDataFrame([(1, "password=ef5f08a44296d48198 x", "s")], "doc_id long, text string, source string")
     (row,) = secrets.scan(docs, secrets.F.lit(None)).collect()
