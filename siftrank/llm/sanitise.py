@@ -8,10 +8,11 @@ pointwise mutual information over the entity's own information,
     disclosure = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)),
 
 with documents as the unit: 0 for a term that occurs regardless of the entity, 1 for
-one that occurs nowhere else. Terms are sought within ``REACH`` words of the entity; the
+one that occurs nowhere else. Terms are sought in the whole of an entity's documents; the
 counts are over all documents. A term above ``THRESHOLD`` that is seen with the entity in
-``SUPPORT`` different surroundings (copies of one passage are one) is sanitised there:
-numbers and capitalised words are generalised to what they are, others removed.
+``SUPPORT`` different surroundings (``REACH`` words about the entity; copies of one passage
+are one) is sanitised wherever it stands in the entity's documents: numbers and capitalised
+words are generalised to what they are, others removed.
 
 Every count is an aggregate with map-side sums. What a document adds is bounded by its
 entities; frequent terms and entities are counted, never gathered. The terms asked about
@@ -87,24 +88,30 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def surroundings(text: str, spans: Sequence[Span]) -> list[tuple[str, str, str, int, int]]:
-    """Entity, its surroundings, and term, start and end for the terms near each span."""
-    if not spans:
-        return []
+def words_outside(text: str, spans: Sequence[Span]) -> list[tuple[int, int]]:
+    """Start and end of the words outside all spans, in order."""
     covered = sorted((start, end) for _, start, end in spans)
     words, at = [], 0
-    for m in _TERMS.finditer(text):  # words outside all spans, in order
+    for m in _TERMS.finditer(text):
         while at < len(covered) and covered[at][1] <= m.start():
             at += 1
         if at == len(covered) or m.end() <= covered[at][0]:
             words.append((m.start(), m.end()))
-    made, starts = [], [a for a, _ in words]
+    return words
+
+
+def surroundings(text: str, spans: Sequence[Span]) -> tuple[dict[str, set[str]], set[str]]:
+    """The entities with their different surroundings, and the terms of the text."""
+    if not spans:
+        return {}, set()
+    words = words_outside(text, spans)
+    made, starts = {}, [a for a, _ in words]
     for kind, start, end in spans:
         k = bisect_left(starts, start)
         near = words[max(0, k - REACH) : k + REACH]
         around = sha256_hex(" ".join(text[a:b] for a, b in near).encode())[:16]
-        made += [(f"{kind}:{text[start:end].lower()}", around, text[a:b], a, b) for a, b in near]
-    return made
+        made.setdefault(f"{kind}:{text[start:end].lower()}", set()).add(around)
+    return made, {text[a:b] for a, b in words}
 
 
 def span_list(spans: Sequence[Span]) -> str:
@@ -112,39 +119,39 @@ def span_list(spans: Sequence[Span]) -> str:
 
 
 _FOUND = "array<struct<kind:string,start:int,end:int>>"
-_NEAR = "array<struct<entity:string,around:string,term:string,start:int,end:int>>"
+_NEAR = "array<struct<entity:string,arounds:array<string>>>"
 
 
 def _detect(batch: pa.RecordBatch) -> pa.RecordBatch:
-    spans, near = [], []
+    spans, near, held = [], [], []
     for text in batch.column("text").to_pylist():
         found = base_spans(text)
         spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-        near.append([
-            {"entity": e, "around": s, "term": t, "start": a, "end": b} for e, s, t, a, b in surroundings(text, found)
-        ])
+        entities, terms = surroundings(text, found)
+        near.append([{"entity": e, "arounds": sorted(arounds)} for e, arounds in entities.items()])
+        held.append(sorted(terms))
     place = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    term = pa.struct([("entity", pa.string()), ("around", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    entity = pa.struct([("entity", pa.string()), ("arounds", pa.list_(pa.string()))])
     return pa.RecordBatch.from_arrays(
-        [batch.column("key"), batch.column("row"), pa.array(spans, pa.list_(place)), pa.array(near, pa.list_(term))],
-        names=["key", "row", "spans", "near"],
+        [
+            batch.column("key"), batch.column("row"), pa.array(spans, pa.list_(place)),
+            pa.array(near, pa.list_(entity)), pa.array(held, pa.list_(pa.string())),
+        ],
+        names=["key", "row", "spans", "near", "held"],
     )
 
 
 def detect(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``key``, ``row``, the base ``spans`` and the terms ``near`` them."""
+    """``key``, ``row``, the base ``spans``, the entities ``near`` and the terms ``held`` with them."""
     rows = docs.select(row_key().alias("key"), carried(docs, carry).alias("row"), text_of().alias("text"))
     kept = rows.select("key", "row").schema
-    made = StructType.fromDDL(f"spans {_FOUND}, near {_NEAR}")
+    made = StructType.fromDDL(f"spans {_FOUND}, near {_NEAR}, held array<string>")
     return by_batch(rows, _detect, StructType(kept.fields + made.fields))
 
 
 def disclosing_terms(detected: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(entity, term)`` above the threshold, with their ``disclosure``."""
-    def each(*parts: str) -> DataFrame:
-        """A row for each document and different combination of these parts in it."""
-        combined = F.transform("near", lambda x: F.struct(*[x[part].alias(part) for part in parts]))
-        return detected.select(F.explode(F.array_distinct(combined)).alias("x")).select("x.*")
+    found = detected.select(F.explode("near").alias("x"), "held").select("x.*", "held")
 
     total = float(detected.count())
 
@@ -152,18 +159,27 @@ def disclosing_terms(detected: DataFrame, docs: DataFrame) -> DataFrame:
         both, entity = F.col("n_both"), F.col("n_entity")
         return F.log(both * F.lit(total) / (entity * F.col(n_term))) / F.log(F.lit(total) / entity)
 
-    contexts = each("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    both = each("entity", "term").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = each("entity").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a term is held by all documents that hold it near some entity: a bound that rules most pairs out
-    at_least = each("term").groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = stored(
-        # an entity of all documents has no information to give away
-        contexts.where(F.col("contexts") >= SUPPORT).join(both, ["entity", "term"])
-        .join(entities, "entity").where(F.col("n_entity") < total)
-        .join(at_least, "term").where(told("n_near") >= THRESHOLD),
-        "pairs",
+    # what has too few surroundings itself can have no term in enough of them
+    around = found.select("entity", F.explode("arounds").alias("around")).distinct()
+    enough = around.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("entity")
+    # an entity of all documents has no information to give away
+    entities = stored(
+        found.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") < total).join(enough, "entity"),
+        "entities",
+    )
+    each = found.join(entities.select("entity"), "entity").select("entity", "arounds", F.explode("held").alias("term"))
+    both = each.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    # a term is held by all documents that hold it beside some entity: a bound that rules most pairs out
+    at_least = detected.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    likely = stored(
+        both.join(entities, "entity").join(at_least, "term").where(told("n_near") >= THRESHOLD).drop("n_near"), "likely"
     )
+    contexts = (
+        each.join(likely.select("entity", "term"), ["entity", "term"])
+        .select("entity", "term", F.explode("arounds").alias("around")).distinct()
+        .groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    )
+    pairs = stored(likely.join(contexts, ["entity", "term"]), "pairs")
     asked = stored(pairs.select("term").distinct(), "asked")
     words = docs.select(text_of().alias("text"))
     if asked.count() <= BROADCAST_TERMS:
@@ -194,12 +210,26 @@ def _holding(asked: set[str]):
 
 def term_spans(detected: DataFrame, docs: DataFrame) -> DataFrame:
     """For each ``key`` with disclosing terms, their places ``terms``, by start."""
-    flagged = disclosing_terms(detected, docs)
-    near = detected.select("key", F.explode("near").alias("x")).select("key", "x.*")
-    return (
-        near.join(flagged, ["entity", "term"]).groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    flagged = stored(disclosing_terms(detected, docs), "flagged")
+    # documents without a flagged entity go before their terms are looked at
+    found = detected.select("key", F.explode("near.entity").alias("entity"), "held").join(
+        flagged.select("entity").distinct(), "entity"
     )
+    own = found.select("key", "entity", F.explode("held").alias("term")).join(flagged, ["entity", "term"])
+    wanted = own.groupBy("key").agg(F.collect_set("term").alias("wanted"))
+    texts = docs.select(row_key().alias("key"), text_of().alias("text")).join(stored(wanted, "wanted"), "key")
+    places = by_batch(texts, _places, "key string, terms array<struct<start:int,end:int>>")
+    return places.dropDuplicates(["key"])
+
+
+def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Every place of a text's wanted terms."""
+    made = []
+    for text, wanted in zip(batch.column("text").to_pylist(), map(set, batch.column("wanted").to_pylist()), strict=True):
+        words = words_outside(text, base_spans(text))
+        made.append([{"start": a, "end": b} for a, b in words if text[a:b] in wanted])
+    place = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.list_(place))], names=["key", "terms"])
 
 
 def generalised(word: str) -> str:

@@ -441,6 +441,15 @@ def test_disclosing_terms(spark):
     assert texts[0] == "filler0 words [NAME] [TERM] [EMAIL] near 500 today" and texts[100] == rows[8][1]
 
 
+def test_disclosing_terms_of_the_whole_text(spark):
+    far = " ".join(["plain"] * 20)
+    rows = [(k, f"Zanzibar {far} other{k} met bob@x.org near {k + 500} {far} Quagga") for k in range(8)]
+    rows += [(100 + k, f"plain met near number {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs).collect()}
+    assert texts[0] == f"[NAME] {far} other0 met [EMAIL] near 500 {far} [NAME]" and texts[100] == rows[8][1]
+
+
 # the pipeline
 
 
