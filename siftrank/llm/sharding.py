@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftrank.llm.common import row_key, stored, table, text_of
+from siftrank.operators.positions import with_running_count
 
 LIMIT = 64 << 20
 BITS = 60
@@ -96,10 +97,18 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """The rows of ``docs``, a folder for each shard (``shard=bits``) under ``path``."""
     shards = stored(assign(docs, limit), "shards")
     rows = docs.withColumn("_hash", hash_bits())
-    split = shards.where(F.contains("shard", F.lit("."))).select(F.col("hash").alias("_hash"), "shard")
-    whole = shards.where(~F.contains("shard", F.lit("."))).select(F.col("hash").alias("_hash"), "shard").distinct()
-    # alike rows are one row here, and again as many as they were after the join
-    again = rows.join(split.select("_hash").distinct(), "_hash", "left_semi").dropDuplicates(["_hash"]).join(split, "_hash")
+    numbered = F.contains("shard", F.lit("."))
+    split = shards.where(numbered).groupBy(F.col("hash").alias("_hash")).agg(F.max("n_bytes").alias("_most"))
+    whole = shards.where(~numbered).select(F.col("hash").alias("_hash"), "shard").distinct()
+    # the rows themselves are counted off: their other columns may differ
+    each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest("_most", F.lit(1))))
+    alike = stored(rows.withColumn("_at", F.monotonically_increasing_id()).join(split, "_hash"), "alike")
+    part = F.floor((F.col("_number") - 1) / each).cast("string")
+    again = (
+        with_running_count(alike, ["_hash"], "_at", "_number")
+        .withColumn("shard", F.concat(_bits(F.col("_hash"), F.lit(BITS)), F.lit("."), part))
+        .drop("_at", "_most", "_number")
+    )
     placed = rows.join(whole, "_hash").unionByName(again).drop("_hash")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
 

@@ -287,6 +287,16 @@ def test_alike_rows_are_counted_off_and_written_whole(spark, tmp_path):
     assert {r[0]: r[1] for r in back} == {1: 100, 2: 1, 3: 1, None: 1}
 
 
+def test_alike_rows_keep_their_other_columns(spark, tmp_path):
+    rows = [(None, "x" * 100, f"source {k}") for k in range(95)] + [(2, "y" * 50, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sharding.write_shards(docs, str(tmp_path / "shards"), 1000)
+    # by folder: a reader takes bits with a point for a number
+    back = spark.read.parquet(str(tmp_path / "shards")).withColumn("shard", sharding.F.regexp_extract(sharding.F.input_file_name(), "shard=([0-9.]*)", 1)).collect()
+    assert sorted(r["source"] for r in back) == sorted(r[2] for r in rows)
+    assert sorted(Counter(r["shard"] for r in back if r["doc_id"] is None).values()) == [5] + [10] * 9
+
+
 # op7
 
 
