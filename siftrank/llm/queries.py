@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from siftrank.llm import decontaminate, pages, pieces, quality, repeats, sanitise, secrets, sharding, simhash, toxicity
+from siftrank.llm import (
+    decontaminate,
+    pages,
+    periods,
+    pieces,
+    quality,
+    repeats,
+    sanitise,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+)
 
 QUERIES = {
     "op1_repeats": repeats.query,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_secrets": secrets.query,
     "op10_sanitisation": sanitise.query,
+    "op11_periods": periods.query,
 }
 
 SQL: dict[str, str] = {
