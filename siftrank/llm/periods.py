@@ -32,6 +32,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from siftrank.llm.common import by_batch, sha256_hex, table, text_of
 
@@ -270,7 +271,7 @@ def collapse(docs: DataFrame) -> DataFrame:
     """``docs`` with columns ``runs`` (start, length, period in words) and ``collapsed``, the
     words without repetitions, joined by one blank."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("text"))
-    kind = "array<struct<start:long,length:long,period:long>>"
+    kind = ArrayType(StructType().add("start", "long").add("length", "long").add("period", "long"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, texts = [], []
