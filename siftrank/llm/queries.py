@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftrank.llm import (
     decontaminate,
+    embeddings,
     pages,
     periods,
     pieces,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_secrets": secrets.query,
     "op10_sanitisation": sanitise.query,
     "op11_periods": periods.query,
+    "op12_embeddings": embeddings.query,
 }
 
 SQL: dict[str, str] = {
