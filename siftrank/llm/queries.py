@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftrank.llm import (
+    conversations,
     decontaminate,
     embeddings,
     pages,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_sanitisation": sanitise.query,
     "op11_periods": periods.query,
     "op12_embeddings": embeddings.query,
+    "op13_conversations": conversations.query,
 }
 
 SQL: dict[str, str] = {
