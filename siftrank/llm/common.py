@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -47,16 +50,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Free memory of a task that has ended goes back to the system, not to the next task's worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_batch(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
+    df: DataFrame,
+    function: Callable[..., pa.RecordBatch | None],
+    schema: str | StructType,
+    prepare: Callable[[], object] | None = None,
 ) -> DataFrame:
-    """``function`` on every Arrow batch."""
+    """``function`` on every Arrow batch, with what ``prepare`` makes once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (prepare(),) if prepare else ()
         for batch in batches:
-            made = function(batch)
+            made = function(batch, *held)
             if made is not None and made.num_rows:
                 yield made
+            del made
+        del held
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,9 @@ text gives, and there is one such sequence, so the shortest path is the model's
 
 Where no piece has a character before the space sign, every path is cut there, and at
 characters that occur in no longer piece; parts between such cuts are composed on their own
-and remembered, up to ``REMEMBERED`` parts a worker.
+and remembered for the rest of the task. What is remembered is kept in two generations of ``REMEMBERED``
+parts or ``REMEMBERED_BYTES`` at most: when the newer is full the older goes, and a part met again moves to
+the newer. Transducer and memory go when the task ends.
 
 Normalisers with a character map are refused: the file's rule is then not the identity.
 Null and empty texts have no ids. Repeated rows and missing doc_ids change nothing; an empty
@@ -28,7 +30,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ from siftrank.llm.common import by_batch, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+REMEMBERED_BYTES = 12 << 20
 
 #: Kinds of models and of pieces, as numbered in model files (fixed values).
 UNIGRAM, BPE = 1, 2
@@ -107,6 +109,8 @@ class Transducer:
         parts = rf"[^{stop}]+" if lead else rf"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+"
         self.parts = re.compile((rf"[{stop}]|" if apart else "") + parts)
         self.known: dict[str, bytes] = {}  # a part's ids, as 32-bit numbers
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.beside: dict[int, bool] = {}
 
     def _add_piece(self, fields: dict) -> None:
@@ -198,11 +202,14 @@ class Transducer:
         return array("i", [number for ids in reversed(path) for number in ids]).tobytes()
 
     def _composed(self, part: str) -> bytes:
-        ids = self._shortest_merged(part) if self.kind == BPE else self._shortest_summed(part)
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self._shortest_merged(part) if self.kind == BPE else self._shortest_summed(part)
         if len(part) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED or self.held >= REMEMBERED_BYTES:
+                self.known, self.older, self.held = {}, self.known, 0
             self.known[part] = ids
+            self.held += 4 * len(part) + len(ids)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -217,7 +224,6 @@ class Transducer:
         return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def compiled(model: bytes) -> Transducer:
     return Transducer(model)
 
@@ -231,8 +237,7 @@ def read_model(path: str = MODEL) -> bytes:
 def encode(docs: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``ids``, ``n_ids`` and whether decoding gives the text back."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        machine = compiled(model)
+    def run(batch: pa.RecordBatch, machine: Transducer) -> pa.RecordBatch:
         encoded, exact = [], []
         for value in batch.column("text").to_pylist():
             ids = machine.encode(value or "")
@@ -247,19 +252,18 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = rows.select("doc_id").schema.add("ids", ArrayType(IntegerType())).add("n_ids", "long").add("exact", "boolean")
-    return by_batch(rows, run, schema)
+    return by_batch(rows, run, schema, lambda: compiled(model))
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     """``encoded`` with the column ``text`` that its ids stand for; null ids are none."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        machine = compiled(model)
+    def run(batch: pa.RecordBatch, machine: Transducer) -> pa.RecordBatch:
         texts = [machine.decode(x or []) for x in batch.column("_ids").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns if c != "text"]).alias("row"), F.col(ids).alias("_ids"))
-    made = by_batch(rows, run, rows.select("row").schema.add("text", "string"))
+    made = by_batch(rows, run, rows.select("row").schema.add("text", "string"), lambda: compiled(model))
     return made.select("row.*", "text")
 
 
