@@ -76,7 +76,8 @@ def base_spans(text: str) -> list[Span]:
     """Kind, start and end of the entities, by kind as listed, then by start."""
     found: list[Span] = [("email", a, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        parts = [part.lstrip("0") or "0" for part in m[0].split(".")]  # any number of zeros in front
+        if all(len(part) <= 3 and int(part) <= 255 for part in parts):
             found.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
