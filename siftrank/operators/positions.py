@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from siftrank.session import write_and_reload
+
 
 def with_running_count(
     df: DataFrame, keys: Sequence[str], at: str, name: str = "running", width: int = 65_536
@@ -34,10 +36,28 @@ def with_running_count(
     )
 
 
-def number_ids(df: DataFrame, id: str, name: str = "position", descending: bool = False) -> DataFrame:
-    """Distinct whole-number ids numbered 1, 2, ... in order."""
-    sign = -1 if descending else 1
-    ids = df.select(id).distinct().withColumn("_at", F.col(id) * sign)
-    return with_running_count(ids.withColumn("_all", F.lit(0)), ["_all"], "_at", name).drop(
-        "_at", "_all"
+def number_rows(df: DataFrame, by: Sequence[Column], name: str = "position") -> DataFrame:
+    """Rows numbered 1, 2, ... in the order ``by``, which tells all rows apart.
+
+    Rows are dealt out in ranges and written as they lie; a row's number is its place in its
+    range and the rows of the ranges before. Only the sizes of the ranges, one for each task, are put
+    together.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = write_and_reload(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = sorted(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for each in sizes:
+        offsets.append((each["_range"], before))
+        before += each["n"]
+    table = df.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    return placed.join(table, "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).drop(
+        "_at", "_range", "_place", "_before"
     )
+
+
+def number_ids(df: DataFrame, id: str, name: str = "position", descending: bool = False) -> DataFrame:
+    """Distinct ids numbered 1, 2, ... in order."""
+    by = F.col(id).desc() if descending else F.col(id).asc()
+    return number_rows(df.select(id).distinct(), [by], name)

@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftrank.operators.neighbourhood import Rule, best_unrated, sums_of_cells
 from siftrank.operators.positions import number_ids
 from siftrank.operators.search import top_k
-from siftrank.session import write_and_reload
 
 # The neighbourhood rules.
 NEIGHBOURS = 20
@@ -282,80 +282,18 @@ def similarity_lists(edges: DataFrame, k: int | None = None) -> DataFrame:
 _CELL = ["user_id", "item_id"]
 
 
-def _nearest(parts: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest (``sim`` descending, ``other`` descending) of each cell."""
-    order = [F.col("sim").desc(), F.col("other").desc()]
-    return top_k(parts, k, keys=_CELL, order=order)
+def _user_links(ratings: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The users near a user, and the deviations of their ratings."""
+    near = mirrored(edges.where(F.col("sim") >= MIN_USER_SIMILARITY), "u", "x").withColumnRenamed("sim", "v")
+    far = centred(ratings).select(F.col("user_id").alias("x"), F.col("item_id").alias("i"), F.col("w").alias("v"))
+    return near, far
 
 
-def _sums() -> list[Column]:
-    return [F.sum("num").alias("num"), F.sum("den").alias("den")]
-
-
-def _sums_of_nearest(parts: DataFrame, k: int) -> DataFrame:
-    """Sums over the ``k`` nearest of each cell; every cell is ranked."""
-    return _nearest(parts, k).groupBy(*_CELL).agg(*_sums())
-
-
-def _sums_of_mostly_few(parts: DataFrame, k: int) -> DataFrame:
-    """The same for very many cells of which few have more than ``k`` members.
-
-    All cells are summed by hashing; only the members of fuller cells are ranked.
-    The sums are written with the fuller cells apart, so that Spark knows how few
-    those are when it joins them.
-    """
-    totals = write_and_reload(
-        parts.groupBy(*_CELL)
-        .agg(F.count(F.lit(1)).alias("n"), *_sums())
-        .withColumn("over_full", F.col("n") > k),
-        "neighbour-sums",
-        partition_by=["over_full"],
-    )
-    over_full = totals.where("over_full").select(*_CELL)
-    ranked = _sums_of_nearest(parts.join(over_full, _CELL, "left_semi"), k)
-    return totals.where("not over_full").drop("n", "over_full").unionByName(ranked)
-
-
-def _by_user(rows: DataFrame) -> DataFrame:
-    """Rows dealt out by user before they fan out. When the other side of the next
-    join is small enough to be broadcast, what comes of it is already grouped and
-    the much longer result is not shuffled. It is then also bounded per user, by
-    the size of that side; otherwise the join deals the rows out anew."""
-    return rows.repartition("user_id")
-
-
-def _with_edges(rows: DataFrame, edges: DataFrame, one: str) -> DataFrame:
-    """Join rows that name both ends of an edge, ``one`` and ``other``. The ends are
-    put in order on the fly, which spares mirroring the edges."""
-    ends = {"a": F.least(one, "other"), "b": F.greatest(one, "other")}
-    return rows.where(F.col(one) != F.col("other")).withColumns(ends).join(edges, ["a", "b"])
-
-
-def _user_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame) -> DataFrame:
-    """Contributions (user_id, item_id, other, sim, num, den) of user neighbours, to
-    the target cells or, without targets, to all cells they reach."""
-    edges = edges.where(F.col("sim") >= MIN_USER_SIMILARITY)
-    theirs = centred(ratings).select(F.col("user_id").alias("other"), "item_id", "w")
-    if targets is None:
-        rows = _by_user(mirrored(edges, "user_id", "other")).join(theirs, "other")
-    else:
-        rows = _with_edges(targets.select(*_CELL).join(theirs, "item_id"), edges, "user_id")
-    return rows.select(
-        *_CELL, "other", "sim", (F.col("sim") * F.col("w")).alias("num"), F.abs("sim").alias("den")
-    )
-
-
-def _item_parts(targets: DataFrame | None, ratings: DataFrame, edges: DataFrame) -> DataFrame:
-    """Contributions of the items a user rated to an item's prediction."""
-    edges = edges.where(F.col("sim") >= MIN_ITEM_SIMILARITY)
-    theirs = ratings.select("user_id", F.col("item_id").alias("other"), "rating")
-    if targets is None:
-        rows = _by_user(theirs).join(mirrored(edges, "item_id", "other"), "other")
-    else:
-        rows = _with_edges(targets.select(*_CELL).join(theirs, "user_id"), edges, "item_id")
-    return rows.select(
-        *_CELL, "other", "sim", (F.col("sim") * F.col("rating")).alias("num"), F.col("sim").alias("den")
-    )
+def _item_links(ratings: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items a user rated, and the items similar to them."""
+    near = ratings.select(F.col("user_id").alias("u"), F.col("item_id").alias("x"), F.col("rating").alias("v"))
+    far = mirrored(edges.where(F.col("sim") >= MIN_ITEM_SIMILARITY), "x", "i").withColumnRenamed("sim", "v")
+    return near, far
 
 
 def _means(ratings: DataFrame) -> DataFrame:
@@ -381,10 +319,12 @@ def predict_user_based(
     edges: DataFrame,
     k: int = NEIGHBOURS,
     clip: tuple[float, float] | None = None,
+    **how,
 ) -> DataFrame:
     """(user_id, item_id, prediction): the user's mean moved by the deviations of
     the ``k`` most similar users who rated the item."""
-    return _predict(targets, ratings, _user_parts(targets, ratings, edges), _user_value(), k, clip)
+    sums = sums_of_cells(targets, *_user_links(ratings, edges), Rule(True, k), **how)
+    return _predict(targets, ratings, sums, _user_value(), clip)
 
 
 def predict_item_based(
@@ -393,17 +333,19 @@ def predict_item_based(
     edges: DataFrame,
     k: int = NEIGHBOURS,
     clip: tuple[float, float] | None = None,
+    **how,
 ) -> DataFrame:
     """(user_id, item_id, prediction): the user's ratings of the ``k`` most similar
     items, weighted by similarity."""
-    return _predict(targets, ratings, _item_parts(targets, ratings, edges), _item_value(), k, clip)
+    sums = sums_of_cells(targets, *_item_links(ratings, edges), Rule(False, k), **how)
+    return _predict(targets, ratings, sums, _item_value(), clip)
 
 
-def _predict(targets, ratings, parts, value, k, clip) -> DataFrame:
+def _predict(targets, ratings, sums, value, clip) -> DataFrame:
     return (
         targets.select(*_CELL)
         .join(_means(ratings), "user_id")
-        .join(_sums_of_nearest(parts, k), _CELL, "left")
+        .join(sums, _CELL, "left")
         .select(*_CELL, _clipped(value, clip).alias("prediction"))
     )
 
@@ -418,10 +360,12 @@ def recommend_user_based(
     users: DataFrame | None = None,
     k: int = NEIGHBOURS,
     decimals: int | None = None,
+    **how,
 ) -> DataFrame:
-    """(user_id, item_id, prediction, rank): unseen items, best first."""
-    parts = _user_parts(None, ratings, edges)
-    return _recommend(ratings, parts, _user_value(), top, users, k, decimals)
+    """(user_id, item_id, prediction, rank): unseen items, best first. Items that no
+    neighbour reaches have the user's mean."""
+    links = _user_links(ratings, edges)
+    return best_unrated(ratings, _asked(ratings, users), *links, Rule(True, k), top, decimals, **how)
 
 
 def recommend_item_based(
@@ -431,78 +375,13 @@ def recommend_item_based(
     users: DataFrame | None = None,
     k: int = NEIGHBOURS,
     decimals: int | None = None,
+    **how,
 ) -> DataFrame:
-    parts = _item_parts(None, ratings, edges)
-    return _recommend(ratings, parts, _item_value(), top, users, k, decimals)
-
+    links = _item_links(ratings, edges)
+    return best_unrated(ratings, _asked(ratings, users), *links, Rule(False, k), top, decimals, **how)
 
-def _recommend(ratings, parts, value, top, users, k, decimals) -> DataFrame:
-    """Predict what neighbours reach, add the rest at the user's mean, rank.
 
-    Items that no neighbour reaches all have the user's mean. They cannot enter
-    the list of a user with ``top`` reached items above the mean; the other users
-    get as many of them as could have a place (see :func:`_unreached`). Users are
-    never crossed with all items unless the full list is asked for (``top=None``).
-    """
+def _asked(ratings: DataFrame, users: DataFrame | None) -> DataFrame:
+    """The means of the users asked for, or of all."""
     means = _means(ratings)
-    if users is not None:
-        wanted = users.select("user_id").distinct()
-        means = means.join(wanted, "user_id", "left_semi")
-        parts = parts.join(wanted, "user_id", "left_semi")
-    rated = ratings.select(*_CELL)
-    best_first = [F.col("prediction").desc(), F.col("item_id").desc()]
-    settle = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
-
-    reached = (
-        _sums_of_mostly_few(parts, k)
-        .join(rated, _CELL, "left_anti")
-        .join(means, "user_id")
-        .select(*_CELL, settle(value).alias("prediction"), settle(F.col("mean")).alias("mean"))
-    )
-    # At most ``top`` rows a user, and needed twice.
-    best = write_and_reload(
-        top_k(reached, top, keys=["user_id"], order=best_first), "recommended"
-    )
-    short = means.withColumn("mean", settle(F.col("mean")))
-    if top is not None:
-        filled = (
-            best.where(F.col("prediction") > F.col("mean"))
-            .groupBy("user_id")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") >= top)
-        )
-        short = short.join(filled, "user_id", "left_anti")
-    of_short = short.select("user_id")
-    skipped = (
-        parts.join(of_short, "user_id", "left_semi")
-        .select(*_CELL)
-        .unionByName(rated.join(of_short, "user_id", "left_semi"))
-        .distinct()
-    )
-    items = number_ids(ratings, "item_id", "place", descending=True)
-    full = best.select(*_CELL, "prediction").unionByName(_unreached(short, skipped, items, top))
-    return top_k(full, top, keys=["user_id"], order=best_first)
-
-
-def _unreached(
-    means: DataFrame, skipped: DataFrame, items: DataFrame, top: int | None
-) -> DataFrame:
-    """Items at the user's mean. Among equals the larger id comes first, so items
-    are walked from the largest id, as far as ``top`` plus the number of skipped
-    items, and the skipped ones are left out."""
-    n_items = items.select(F.count(F.lit(1))).scalar()
-    counts = skipped.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_skipped"))
-    walk = means.join(counts, "user_id", "left").withColumn("_items", n_items)
-    length = F.col("_items")
-    if top is not None:
-        length = F.least(F.col("_items"), F.coalesce("n_skipped", F.lit(0)) + F.lit(top))
-    return (
-        walk.select(
-            "user_id",
-            F.col("mean").alias("prediction"),
-            F.explode(F.sequence(F.lit(1).cast("long"), length.cast("long"))).alias("place"),
-        )
-        .join(items, "place")
-        .join(skipped, ["user_id", "item_id"], "left_anti")
-        .select("user_id", "item_id", "prediction")
-    )
+    return means if users is None else means.join(users.select("user_id").distinct(), "user_id", "left_semi")

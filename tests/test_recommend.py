@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 from siftrank.operators import recommend as R
 
 
+def stored(df):
+    from siftrank.session import write_and_reload
+
+    return write_and_reload(df, "similar")
+
+
 def edges(df):
     return {(r.a, r.b): r.sim for r in df.collect()}
 
@@ -115,3 +121,34 @@ def test_single_rating_has_no_deviation(spark):
     one = spark.createDataFrame([(1, 1, 4.0)], "user_id long, item_id long, rating double")
     assert tuple(R.matrix_stats(one).first()) == (1, 1, 1, 4.0, 0.0)
     assert R.profile_stats(one).first().deviation == 0.0
+
+
+@pytest.mark.parametrize("how", [{}, {"heavy": 12}])
+def test_blocks_of_predictions_equal_each_other(sparse, how):
+    for by, name in ((R.user_similarities, "user"), (R.item_similarities, "item")):
+        similar = stored(by(sparse, 0.0))
+        predict = getattr(R, f"predict_{name}_based")
+        whole = {(r.user_id, r.item_id): r.prediction for r in predict(sparse, sparse, similar, k=3, heavy=10**6).collect()}
+        parts = {(r.user_id, r.item_id): r.prediction for r in predict(sparse, sparse, similar, k=3, links=50, **how).collect()}
+        assert parts == pytest.approx(whole) and len(whole) == sparse.count()
+
+
+@pytest.mark.parametrize("how", [{}, {"heavy": 12}])
+def test_waves_of_items_give_the_list_of_all(sparse, how):
+    for by, name in ((R.user_similarities, "user"), (R.item_similarities, "item")):
+        similar = stored(by(sparse, 0.0))
+        recommend = getattr(R, f"recommend_{name}_based")
+        every = recommend(sparse, similar, top=None, k=3, decimals=6).where("rank <= 4").collect()
+        waves = recommend(sparse, similar, top=4, k=3, decimals=6, block=(9, 3), **how).collect()
+        assert sorted(map(tuple, waves)) == sorted(map(tuple, every))
+
+
+def test_numbers_of_ids(spark):
+    from siftrank.operators.positions import number_ids
+
+    ids = [hash((n, "id")) for n in range(3000)]
+    df = spark.createDataFrame([(i,) for i in ids + ids[:500]], "id long").repartition(7)
+    got = {r.id: r.position for r in number_ids(df, "id").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(ids), 1)}
+    back = {r.id: r.n for r in number_ids(df, "id", "n", descending=True).collect()}
+    assert back == {i: n for n, i in enumerate(sorted(ids, reverse=True), 1)}
