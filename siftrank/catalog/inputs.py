@@ -123,32 +123,35 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def user_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """User similarities of at least 0.1, one row per pair."""
+def user_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarities of all users who share an item, one row per pair."""
     return once(
         spark,
         folder,
-        "user_edges",
-        lambda: write_and_reload(
-            recommend.user_similarities(ratings(spark, folder), minimum=0.1, decimals=6),
-            "user-edges",
-        ),
+        "user_pairs",
+        lambda: write_and_reload(recommend.user_similarities(ratings(spark, folder), decimals=6), "user-pairs"),
     )
 
 
-def item_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Item similarities of at least 0, one row per pair."""
+def item_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarities of all items that share a user, one row per pair."""
     return once(
         spark,
         folder,
-        "item_edges",
-        lambda: write_and_reload(
-            recommend.item_similarities(ratings(spark, folder), minimum=0.0, decimals=6),
-            "item-edges",
-        ),
+        "item_pairs",
+        lambda: write_and_reload(recommend.item_similarities(ratings(spark, folder), decimals=6), "item-pairs"),
     )
 
 
+def user_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Those similar enough to predict by. The filter is that of the rule."""
+    return user_pairs(spark, folder).where(F.col("sim") >= recommend.MIN_USER_SIMILARITY)
+
+
+def item_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return item_pairs(spark, folder).where(F.col("sim") >= recommend.MIN_ITEM_SIMILARITY)
+
+
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """A BM25 run, 1,000 hits per topic."""
     from siftrank.functions import models
@@ -259,30 +262,19 @@ um AS MATERIALIZED (SELECT user_id, avg(rating) AS mean FROM rt GROUP BY user_id
 ce AS MATERIALIZED (SELECT user_id, item_id, rating, rating - mean AS w FROM rt JOIN um USING (user_id))
 """
 
-USER_EDGES = (
-    RATINGS
-    + """,
-ue AS MATERIALIZED (
-  SELECT a, b, sim FROM (
-    SELECT x.user_id AS a, y.user_id AS b, round(sum(x.w * y.w) / (sqrt(sum(x.w * x.w)) * sqrt(sum(y.w * y.w))), 6) AS sim
-    FROM ce x JOIN ce y ON x.item_id = y.item_id AND x.user_id < y.user_id
-    GROUP BY ALL
-    HAVING abs(sum(x.w * y.w)) >= 1e-9 AND sum(x.w * x.w) >= 1e-9 AND sum(y.w * y.w) >= 1e-9)
-  WHERE sim >= 0.1
-)
-"""
-)
 
-ITEM_EDGES = (
-    RATINGS
-    + """,
-ie AS MATERIALIZED (
-  SELECT a, b, sim FROM (
-    SELECT x.item_id AS a, y.item_id AS b, round(sum(x.w * y.w) / (sqrt(sum(x.w * x.w)) * sqrt(sum(y.w * y.w))), 6) AS sim
-    FROM ce x JOIN ce y ON x.user_id = y.user_id AND x.item_id < y.item_id
-    GROUP BY ALL
-    HAVING abs(sum(x.w * y.w)) >= 1e-9 AND sum(x.w * x.w) >= 1e-9 AND sum(y.w * y.w) >= 1e-9)
-  WHERE sim >= 0
-)
+
+def _pairs_sql(name: str, who: str, via: str) -> str:
+    return f"""{RATINGS},
+{name} AS MATERIALIZED (
+  SELECT x.{who} AS a, y.{who} AS b, round(sum(x.w * y.w) / (sqrt(sum(x.w * x.w)) * sqrt(sum(y.w * y.w))), 6) AS sim
+  FROM ce x JOIN ce y ON x.{via} = y.{via} AND x.{who} < y.{who}
+  GROUP BY ALL
+  HAVING abs(sum(x.w * y.w)) >= 1e-9 AND sum(x.w * x.w) >= 1e-9 AND sum(y.w * y.w) >= 1e-9)
 """
-)
+
+
+USER_PAIRS = _pairs_sql("up", "user_id", "item_id")
+ITEM_PAIRS = _pairs_sql("ip", "item_id", "user_id")
+USER_EDGES = USER_PAIRS + ", ue AS MATERIALIZED (SELECT * FROM up WHERE sim >= 0.1)"
+ITEM_EDGES = ITEM_PAIRS + ", ie AS MATERIALIZED (SELECT * FROM ip WHERE sim >= 0)"

@@ -183,14 +183,14 @@ def rating_exists(spark, folder):
     return R.has_ratings(I.ratings(spark, folder), _asked(spark, folder))
 
 
-@CATALOG.add("user_similarity", f"WITH {I.USER_EDGES} SELECT a, b, sim FROM ue")
+@CATALOG.add("user_similarity", f"WITH {I.USER_PAIRS} SELECT a, b, sim FROM up")
 def user_similarity(spark, folder):
-    return R.user_similarities(I.ratings(spark, folder), minimum=0.1, decimals=6)
+    return I.user_pairs(spark, folder)
 
 
-@CATALOG.add("item_similarity", f"WITH {I.ITEM_EDGES} SELECT a, b, sim FROM ie")
+@CATALOG.add("item_similarity", f"WITH {I.ITEM_PAIRS} SELECT a, b, sim FROM ip")
 def item_similarity(spark, folder):
-    return R.item_similarities(I.ratings(spark, folder), minimum=0.0, decimals=6)
+    return I.item_pairs(spark, folder)
 
 
 def _lists_sql(ctes: str, edges: str) -> str:
@@ -198,14 +198,40 @@ def _lists_sql(ctes: str, edges: str) -> str:
 SELECT one, other, sim, row_number() OVER (PARTITION BY one ORDER BY sim DESC, other DESC) AS rank FROM two"""
 
 
-@CATALOG.add("user_similarity_lists", _lists_sql(I.USER_EDGES, "ue"))
+@CATALOG.add("user_similarity_lists", _lists_sql(I.USER_PAIRS, "up"))
 def user_similarity_lists(spark, folder):
-    return R.similarity_lists(I.user_edges(spark, folder))
+    return R.similarity_lists(I.user_pairs(spark, folder))
 
 
-@CATALOG.add("item_similarity_lists", _lists_sql(I.ITEM_EDGES, "ie"))
+@CATALOG.add("item_similarity_lists", _lists_sql(I.ITEM_PAIRS, "ip"))
 def item_similarity_lists(spark, folder):
-    return R.similarity_lists(I.item_edges(spark, folder))
+    return R.similarity_lists(I.item_pairs(spark, folder))
+
+
+def _to_all_sql(ctes: str, edges: str, who: str) -> str:
+    return f"""WITH {ctes}, two AS (SELECT a AS one, b AS other, sim FROM {edges} UNION ALL SELECT b, a, sim FROM {edges}),
+ids AS (SELECT DISTINCT {who} AS id FROM rt),
+every AS (SELECT t.id AS one, o.id AS other, coalesce(sim, -1) AS sim FROM ids t JOIN ids o ON t.id <> o.id
+  LEFT JOIN two ON one = t.id AND other = o.id WHERE t.id % 20 = 0)
+SELECT one, other, sim, row_number() OVER (PARTITION BY one ORDER BY sim DESC, other DESC) AS rank FROM every"""
+
+
+def _asked_ids(ratings, who):
+    """The query set: ids divisible by 20, against all."""
+    return ratings.where(F.col(who) % 20 == 0).select(who).distinct()
+
+
+@CATALOG.add("user_similarity_to_all", _to_all_sql(I.USER_PAIRS, "up", "user_id"))
+def user_similarity_to_all(spark, folder):
+    """Every user beside each user asked for, -1 where nothing is shared, in order."""
+    ratings = I.ratings(spark, folder)
+    return R.ranked_lists(R.user_similarities_to(_asked_ids(ratings, "user_id"), ratings, decimals=6))
+
+
+@CATALOG.add("item_similarity_to_all", _to_all_sql(I.ITEM_PAIRS, "ip", "item_id"))
+def item_similarity_to_all(spark, folder):
+    ratings = I.ratings(spark, folder)
+    return R.ranked_lists(R.item_similarities_to(_asked_ids(ratings, "item_id"), ratings, decimals=6))
 
 
 _USER_PARTS = """two AS MATERIALIZED (SELECT a AS user_id, b AS other, sim FROM ue UNION ALL SELECT b, a, sim FROM ue),

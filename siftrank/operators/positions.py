@@ -45,15 +45,15 @@ def number_rows(df: DataFrame, by: Sequence[Column], name: str = "position") ->
     """
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     placed = write_and_reload(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_in_range": F.col("_at").bitwiseAND((1 << 33) - 1)})
     sizes = sorted(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
     before, offsets = 0, []
     for each in sizes:
         offsets.append((each["_range"], before))
         before += each["n"]
     table = df.sparkSession.createDataFrame(offsets, "_range long, _before long")
-    return placed.join(table, "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).drop(
-        "_at", "_range", "_place", "_before"
+    return placed.join(table, "_range").withColumn(name, F.col("_before") + F.col("_in_range") + 1).drop(
+        "_at", "_range", "_in_range", "_before"
     )
 
 

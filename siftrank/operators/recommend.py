@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftrank.operators.neighbourhood import Rule, best_unrated, sums_of_cells
-from siftrank.operators.positions import number_ids
+from siftrank.operators.positions import number_ids, number_rows
 from siftrank.operators.search import top_k
+from siftrank.session import write_and_reload
 
 # The neighbourhood rules.
 NEIGHBOURS = 20
@@ -173,15 +174,106 @@ def _similarities(
     sums = _pairs_by_join(light).unionByName(
         _pairs_by_blocks(cells.join(crowded.select("v"), "v", "left_semi"), block, chunk)
     )
+    edges = _similarity_of_sums(sums, decimals)
+    return edges if minimum is None else edges.where(F.col("sim") >= minimum)
+
+
+def _similarity_of_sums(sums: DataFrame, decimals: int | None) -> DataFrame:
+    """(a, b, sim) of the pairs whose similarity is defined."""
     totals = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("dot", "sq_a", "sq_b")])
     sim = F.col("dot") / (F.sqrt("sq_a") * F.sqrt("sq_b"))
-    defined = (
-        (F.abs("dot") >= ZERO) & (F.col("sq_a") >= ZERO) & (F.col("sq_b") >= ZERO)
+    defined = (F.abs("dot") >= ZERO) & (F.col("sq_a") >= ZERO) & (F.col("sq_b") >= ZERO)
+    return totals.where(defined).select("a", "b", (sim if decimals is None else F.round(sim, decimals)).alias("sim"))
+
+
+def user_similarities_to(targets: DataFrame, ratings: DataFrame, **how) -> DataFrame:
+    """(one, other, sim): each user of ``targets`` (user_id) against all other users; -1 where the
+    similarity is not defined."""
+    return _similarities_to(targets, centred(ratings), "user_id", "item_id", **how)
+
+
+def item_similarities_to(targets: DataFrame, ratings: DataFrame, **how) -> DataFrame:
+    """The same for the items of ``targets`` (item_id)."""
+    return _similarities_to(targets, centred(ratings), "item_id", "user_id", **how)
+
+
+def _similarities_to(
+    targets: DataFrame,
+    cells: DataFrame,
+    who: str,
+    via: str,
+    fill: float = -1.0,
+    decimals: int | None = None,
+    heavy: int = HEAVY,
+    block: int = BLOCK,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Only cells of targets meet those of others, by a join or, for a crowded ``via``, in
+    products of blocks of targets and blocks of all. The rest of the rows is filled."""
+    cells = write_and_reload(cells.select(F.col(who).alias("x"), F.col(via).alias("v"), "w"), "cells")
+    asked = write_and_reload(targets.select(F.col(who).alias("x")).distinct(), "targets")
+    crowded = write_and_reload(cells.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("v"), "crowded")
+    own = cells.join(asked, "x", "left_semi")
+    wa, wb = F.col("wa"), F.col("wb")
+    met = (
+        own.join(crowded, "v", "left_anti").select("v", F.col("x").alias("a"), F.col("w").alias("wa"))
+        .join(cells.select("v", F.col("x").alias("b"), F.col("w").alias("wb")), "v")
+        .where(F.col("a") != F.col("b"))
+        .select("a", "b", (wa * wb).alias("dot"), (wa * wa).alias("sq_a"), (wb * wb).alias("sq_b"))
     )
-    edges = totals.where(defined).select(
-        "a", "b", (sim if decimals is None else F.round(sim, decimals)).alias("sim")
+    if not crowded.isEmpty():
+        dense = cells.join(crowded, "v", "left_semi")
+        met = met.unionByName(_target_blocks(dense.join(asked, "x", "left_semi"), dense, block, chunk))
+    sims = _similarity_of_sums(met, decimals)
+    # all ids against the targets, a block of targets after the other
+    n = max(1, -(-asked.count() // block))
+    rows = cells.select(F.col("x").alias("b")).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = asked.select(F.col("x").alias("a"), F.pmod(F.xxhash64("x"), F.lit(n)).cast("int").alias("_block"))
+    every = rows.join(dealt, "_block").where(F.col("a") != F.col("b")).select("a", "b")
+    filled = every.join(sims, ["a", "b"], "left")
+    return filled.select(F.col("a").alias("one"), F.col("b").alias("other"), F.coalesce("sim", F.lit(fill)).alias("sim"))
+
+
+def _target_blocks(own: DataFrame, every: DataFrame, block: int, chunk: int) -> DataFrame:
+    """Partial pair sums of targets and all, over crowded ``v``."""
+    counted = every.agg(F.count_distinct("x").alias("x"), F.count_distinct("v").alias("v")).first()
+    asked = own.agg(F.count_distinct("x")).first()[0]
+    n_p, n_q, n_c = (max(1, -(-n // size)) for n, size in ((asked, block), (counted["x"], block), (counted["v"], chunk)))
+    place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select("x", "v", "w", F.lit(True).alias("target"), place("x", n_p).alias("p"), to_all(n_q).alias("q"), place("v", n_c).alias("c"))
+    right = every.select("x", "v", "w", F.lit(False).alias("target"), to_all(n_p).alias("p"), place("x", n_q).alias("q"), place("v", n_c).alias("c"))
+    ids = every.schema["x"].dataType.simpleString()
+    return left.unionByName(right).groupBy("p", "q", "c").applyInPandas(
+        _target_products, f"a {ids}, b {ids}, dot double, sq_a double, sq_b double"
     )
-    return edges if minimum is None else edges.where(F.col("sim") >= minimum)
+
+
+def _target_products(rows: pd.DataFrame) -> pd.DataFrame:
+    columns, width = pd.factorize(rows["v"])[0], rows["v"].nunique()
+    target = rows["target"].to_numpy()
+    (names_l, left, in_l), (names_r, right, in_r) = (_dense(rows, columns, width, mask) for mask in (target, ~target))
+    i, j = np.nonzero(in_l @ in_r.T)
+    apart = names_l[i] != names_r[j]
+    i, j = i[apart], j[apart]
+    return pd.DataFrame(
+        {
+            "a": names_l[i],
+            "b": names_r[j],
+            "dot": (left @ right.T)[i, j],
+            "sq_a": ((left * left) @ in_r.T)[i, j],
+            "sq_b": (in_l @ (right * right).T)[i, j],
+        }
+    )
+
+
+def _dense(rows: pd.DataFrame, columns: np.ndarray, width: int, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Names, values and presence of the rows of one side of a block."""
+    ids, names = pd.factorize(rows.loc[mask, "x"], sort=True)
+    values, present = np.zeros((len(names), width)), np.zeros((len(names), width))
+    values[ids, columns[mask]] = rows.loc[mask, "w"]
+    present[ids, columns[mask]] = 1.0
+    return np.asarray(names), values, present
 
 
 def _pairs_by_join(cells: DataFrame) -> DataFrame:
@@ -229,16 +321,8 @@ def _block_products(rows: pd.DataFrame) -> pd.DataFrame:
     lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
     columns, n_columns = pd.factorize(rows["v"])[0], rows["v"].nunique()
 
-    def dense(mask):
-        ids, names = pd.factorize(rows.loc[mask, "x"], sort=True)
-        values = np.zeros((len(names), n_columns))
-        present = np.zeros((len(names), n_columns))
-        values[ids, columns[mask]] = rows.loc[mask, "w"]
-        present[ids, columns[mask]] = 1.0
-        return np.asarray(names), values, present
-
-    names_l, left, in_l = dense((rows["p"] == lo).to_numpy())
-    names_r, right, in_r = dense((rows["p"] == hi).to_numpy())
+    names_l, left, in_l = _dense(rows, columns, n_columns, (rows["p"] == lo).to_numpy())
+    names_r, right, in_r = _dense(rows, columns, n_columns, (rows["p"] == hi).to_numpy())
     together = in_l @ in_r.T
     if lo == hi:
         together = np.triu(together, 1)
@@ -272,9 +356,18 @@ def mirrored(edges: DataFrame, one: str = "one", other: str = "other") -> DataFr
 
 def similarity_lists(edges: DataFrame, k: int | None = None) -> DataFrame:
     """(one, other, sim, rank): most similar first, ties to the larger id."""
-    return top_k(
-        mirrored(edges), k, keys=["one"], order=[F.col("sim").desc(), F.col("other").desc()]
-    )
+    return ranked_lists(mirrored(edges), k)
+
+
+def ranked_lists(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """The same for rows (one, other, sim). Without ``k`` all rows are put in order over ranges and
+    a rank is the distance from the first of its list, so no list stands in one task."""
+    best_first = [F.col("sim").desc(), F.col("other").desc()]
+    if k is not None:
+        return top_k(rows, k, keys=["one"], order=best_first)
+    placed = number_rows(rows, [F.col("one").asc(), *best_first], "_place")
+    first = placed.groupBy("one").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "one").select("one", "other", "sim", (F.col("_place") - F.col("_first") + 1).alias("rank"))
 
 
 # --- prediction ------------------------------------------------------------

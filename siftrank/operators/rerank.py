@@ -1,7 +1,8 @@
 """Diversity re-ranking of hit lists.
 
-A hit list is cut to ``k`` before it comes here, so a topic's group has at most
-``k`` rows and the pairs of a topic at most ``k * k / 2``.
+A hit list is cut to ``k`` before it comes here, so a topic has at most ``k`` hits and ``k * k / 2`` pairs.
+All pairs are sums of products of bounded matrices over chunks of a topic's terms; re-ranking
+needs only the correlations of the few documents it has fixed, and never a matrix of all.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from siftrank.operators.index import Index
@@ -21,29 +23,58 @@ FROZEN_BONUS = 100.0
 # Fixed value: the weight of the correlation for lists with mean and variance.
 MEAN_VARIANCE_WEIGHT = 0.01
 
+#: Terms of a topic that are multiplied in one task, and columns of its matrix at a time.
+CHUNK = 50_000
+COLUMNS = 1024
 
-def correlations(hits: DataFrame, index: Index) -> DataFrame:
+
+def _term_numbers(terms: pa.ChunkedArray) -> np.ndarray:
+    return terms.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _pair_sums(rows: pa.Table) -> pa.Table:
+    """Shared terms and products of the pairs of a topic, over a chunk of its terms."""
+    topic = rows["topic_id"][0]
+    ranks, at = np.unique(rows["rank"].to_numpy(), return_inverse=True)
+    docs = rows["doc_id"].combine_chunks().take(pa.array(np.unique(at, return_index=True)[1]))
+    term, tf = _term_numbers(rows["term"]), rows["tf"].to_numpy().astype(np.float64)
+    order = np.argsort(term, kind="stable")
+    at, term, tf = at[order], term[order], tf[order]
+    shared = np.zeros((len(ranks), len(ranks)))
+    dot = np.zeros_like(shared)
+    for low in range(0, int(term[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(term, [low, low + COLUMNS])
+        part = np.zeros((len(ranks), COLUMNS))
+        part[at[a:b], term[a:b] - low] = tf[a:b]
+        dot += part @ part.T
+        present = (part > 0).astype(np.float64)
+        shared += present @ present.T
+    i, j = np.nonzero(np.triu(shared, 1))
+    return pa.table(
+        [pa.repeat(topic, len(i)), docs.take(pa.array(i)), docs.take(pa.array(j)), pa.array(shared[i, j].astype(np.int64)), pa.array(dot[i, j])],
+        ["topic_id", "doc_id_a", "doc_id_b", "o", "dot"],
+    )
+
+
+def correlations(hits: DataFrame, index: Index, chunk: int = CHUNK) -> DataFrame:
     """(topic_id, a, b, corr): Pearson correlation of the term vectors of the hits
     of a topic, ``a`` ranked above ``b``, over the terms of either document.
 
     Means are over each document's own terms. Pairs without a shared term have
     correlation 0 and no row; a pair with a constant side has NULL.
     """
-    ranked = hits.select("topic_id", "doc_id", "rank")
-    chosen = ranked.select("doc_id").distinct()
-    postings = index.postings.select("term", "doc_id", "tf").join(chosen, "doc_id", "left_semi")
-    vectors = postings.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("tf").alias("mu"), F.sum(F.col("tf") * F.col("tf")).alias("sq")
+    rows, vectors = _hit_vectors(hits, index)
+    chunks = rows.groupBy("topic_id").agg(F.ceil(F.count_distinct("term") / F.lit(chunk)).alias("_chunks"))
+    dealt = rows.join(chunks, "topic_id").withColumn("_chunk", F.pmod(F.xxhash64("term"), "_chunks"))
+    ids = rows.schema
+    schema = (
+        f"topic_id {ids['topic_id'].dataType.simpleString()}, doc_id_a {ids['doc_id'].dataType.simpleString()}, "
+        f"doc_id_b {ids['doc_id'].dataType.simpleString()}, o long, dot double"
     )
-    # A document's terms meet its topics here; shared terms then pair its hits.
-    rows = ranked.join(postings, "doc_id").select("topic_id", "term", "doc_id", "rank", "tf")
-    a = rows.select("topic_id", "term", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "rank", "tf")])
-    b = rows.select("topic_id", "term", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "rank", "tf")])
     pairs = (
-        a.join(b, ["topic_id", "term"])
-        .where(F.col("rank_a") < F.col("rank_b"))
-        .groupBy("topic_id", "doc_id_a", "doc_id_b")
-        .agg(F.count(F.lit(1)).alias("o"), F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"))
+        dealt.select("topic_id", "_chunk", "term", "doc_id", "rank", "tf")
+        .groupBy("topic_id", "_chunk").applyInArrow(_pair_sums, schema)
+        .groupBy("topic_id", "doc_id_a", "doc_id_b").agg(F.sum("o").alias("o"), F.sum("dot").alias("dot"))
     )
     left = vectors.select(*[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "mu", "sq")])
     right = vectors.select(*[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "mu", "sq")])
@@ -62,6 +93,49 @@ def correlations(hits: DataFrame, index: Index) -> DataFrame:
     )
 
 
+def _hit_vectors(hits: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """(the terms of each topic's hits, what the correlations need of each document)."""
+    ranked = hits.select("topic_id", "doc_id", "rank")
+    chosen = ranked.select("doc_id").distinct()
+    postings = index.postings.select("term", "doc_id", "tf").join(chosen, "doc_id", "left_semi")
+    vectors = postings.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("tf").alias("mu"), F.sum(F.col("tf") * F.col("tf")).alias("sq")
+    )
+    return ranked.join(postings, "doc_id").select("topic_id", "term", "doc_id", "rank", "tf"), vectors
+
+
+class _Vectors:
+    """The term vectors of a topic's hits, by place in the given list."""
+
+    def __init__(self, places: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, decimals: int | None) -> None:
+        order = np.argsort(places, kind="stable")
+        self.places, self.term, self.tf = places[order], term[order], tf[order]
+        self.begins = np.searchsorted(self.places, np.arange(n + 1))
+        self.sizes = np.diff(self.begins).astype(np.float64)
+        sums, squares = np.bincount(places, tf, n), np.bincount(places, tf * tf, n)
+        self.mu = np.divide(sums, self.sizes, out=np.zeros(n), where=self.sizes > 0)
+        self.spread = squares - self.sizes * self.mu**2
+        self.n, self.width, self.decimals = n, int(term.max(initial=-1)) + 1, decimals
+
+    def with_all(self, place: int) -> np.ndarray:
+        """Correlations of one document with all; 0 where none is defined."""
+        own = slice(self.begins[place], self.begins[place + 1])
+        dense, present = np.zeros(self.width), np.zeros(self.width)
+        dense[self.term[own]], present[self.term[own]] = self.tf[own], 1.0
+        dot = np.bincount(self.places, self.tf * dense[self.term], self.n)
+        shared = np.bincount(self.places, present[self.term], self.n)
+        mu = self.mu[place]
+        cov = dot - mu * self.mu * shared
+        var_a = self.spread[place] + mu**2 * (self.sizes - shared)
+        var_b = self.spread + self.mu**2 * (self.sizes[place] - shared)
+        both = var_a * var_b
+        corr = np.divide(cov, np.sqrt(np.maximum(both, 0)), out=np.zeros(self.n), where=(both > 1e-9) & (shared > 0))
+        if self.decimals is None:
+            return corr
+        scale = 10.0**self.decimals
+        return np.copysign(np.floor(np.abs(corr) * scale + 0.5), corr) / scale
+
+
 def _step_scores(objective: str, weight: float, step: int, work: pd.DataFrame, corr: np.ndarray):
     """New scores of the documents not yet frozen. ``corr[s, i]`` is between the
     s-th frozen document and the i-th open one; ``work`` is in current order."""
@@ -100,23 +174,12 @@ def greedy(
 
     def one_topic(hit_rows: pd.DataFrame, corr_rows: pd.DataFrame) -> pd.DataFrame:
         work = hit_rows.sort_values("rank", kind="stable").reset_index(drop=True)
-        work["given"] = work["score"]
         place = {d: i for i, d in enumerate(work["doc_id"])}
         matrix = np.zeros((len(work), len(work)))
         i = corr_rows["a"].map(place).to_numpy(dtype=int)
         j = corr_rows["b"].map(place).to_numpy(dtype=int)
         matrix[i, j] = matrix[j, i] = corr_rows["corr"].fillna(0.0).to_numpy(dtype=float)
-        at = np.arange(len(work))  # current order -> row of the matrix
-        for step in range(min(steps, len(work) - 1)):
-            between = matrix[np.ix_(at[: step + 1], at[step + 1 :])]
-            fresh = _step_scores(objective, weight, step, work, between)
-            work["score"] = np.concatenate(
-                [work["score"].to_numpy()[: step + 1] + FROZEN_BONUS, fresh]
-            )
-            order = np.lexsort((work["doc_id"].to_numpy(), -work["score"].to_numpy()))
-            work, at = work.iloc[order].reset_index(drop=True), at[order]
-        work["rank"] = np.arange(1, len(work) + 1)
-        return work[columns]
+        return _fixed_in_turn(work, matrix.__getitem__, weight, objective, steps)[columns]
 
     pairs = corr.select(F.col("topic_id").alias("of_topic"), "a", "b", "corr")
     return (
@@ -126,12 +189,66 @@ def greedy(
     )
 
 
+def _fixed_in_turn(work: pd.DataFrame, with_all, weight: float, objective: str, steps: int) -> pd.DataFrame:
+    """``work`` in its new order; ``with_all`` gives the correlations of the document at a place
+    of the given order with those at all places."""
+    work["given"] = work["score"]
+    at = np.arange(len(work))  # current order -> place in the given one
+    rows: list[np.ndarray] = []
+    for step in range(min(steps, len(work) - 1)):
+        rows.append(with_all(at[step]))
+        between = np.stack([row[at[step + 1 :]] for row in rows])
+        fresh = _step_scores(objective, weight, step, work, between)
+        work["score"] = np.concatenate([work["score"].to_numpy()[: step + 1] + FROZEN_BONUS, fresh])
+        order = np.lexsort((work["doc_id"].to_numpy(), -work["score"].to_numpy()))
+        if (order[: step + 1] != np.arange(step + 1)).any():  # fixed ones have changed places
+            rows = [rows[k] if k <= step else with_all(at[k]) for k in order[: step + 1]]
+        work, at = work.iloc[order].reset_index(drop=True), at[order]
+    work["rank"] = np.arange(1, len(work) + 1)
+    return work
+
+
+def greedy_over(
+    hits: DataFrame,
+    index: Index,
+    weight: float = 1.0,
+    objective: str = "correlation",
+    steps: int = STEPS,
+    decimals: int | None = None,
+) -> DataFrame:
+    """:func:`greedy` over whole hit lists, from the documents' vectors.
+
+    A topic's task holds the vectors of its hits and, of their correlations, one row for each
+    document fixed: ``steps`` times ``k``, not ``k`` times ``k``. ``decimals`` rounds correlations, so that ties
+    do not hang on how a sum ran.
+    """
+    columns = hits.columns
+
+    def one_topic(hit_rows: pa.Table, vector_rows: pa.Table) -> pa.Table:
+        work = hit_rows.to_pandas().sort_values("rank", kind="stable").reset_index(drop=True)
+        ranks = work["rank"].to_numpy()
+        places = np.searchsorted(ranks, vector_rows["of_rank"].to_numpy())
+        term = _term_numbers(vector_rows["term"]) if vector_rows.num_rows else np.zeros(0, np.int64)
+        vectors = _Vectors(places, term, vector_rows["tf"].to_numpy().astype(np.float64), len(work), decimals)
+        made = _fixed_in_turn(work, vectors.with_all, weight, objective, steps)[columns]
+        return pa.Table.from_pandas(made, hit_rows.schema, preserve_index=False)
+
+    rows, _ = _hit_vectors(hits, index)
+    vectors = rows.select(F.col("topic_id").alias("of_topic"), F.col("rank").alias("of_rank"), "term", "tf")
+    return hits.groupBy("topic_id").cogroup(vectors.groupBy("of_topic")).applyInArrow(one_topic, hits.schema)
+
+
 def mean_variance_greedy(hits: DataFrame, corr: DataFrame, weight: float = 1.0) -> DataFrame:
     """The correlation objective on hits with mean and variance, at a hundredth of
     the weight."""
     return greedy(hits, corr, weight * MEAN_VARIANCE_WEIGHT)
 
 
+def mean_variance_greedy_over(hits: DataFrame, index: Index, weight: float = 1.0, **how) -> DataFrame:
+    """The same over whole hit lists."""
+    return greedy_over(hits, index, weight * MEAN_VARIANCE_WEIGHT, **how)
+
+
 def ndcg_order(hits: DataFrame, decimals: int = 6) -> DataFrame:
     """Order by expected gain ``2^s + v * 2^s * ln(2)^2``. The value of a document
     does not depend on what is fixed before it, so one ranking does: the first

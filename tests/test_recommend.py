@@ -152,3 +152,26 @@ def test_numbers_of_ids(spark):
     assert got == {i: n for n, i in enumerate(sorted(ids), 1)}
     back = {r.id: r.n for r in number_ids(df, "id", "n", descending=True).collect()}
     assert back == {i: n for n, i in enumerate(sorted(ids, reverse=True), 1)}
+
+
+@pytest.mark.parametrize("how", [{}, {"heavy": 0, "block": 7, "chunk": 3}, {"heavy": 12, "block": 7, "chunk": 3}])
+def test_similarities_of_targets_to_all(sparse, how):
+    for by, to, who in (
+        (R.user_similarities, R.user_similarities_to, "user_id"), (R.item_similarities, R.item_similarities_to, "item_id"),
+    ):
+        pairs = edges(by(sparse))
+        ids = {r[0] for r in sparse.select(who).distinct().collect()}
+        asked = sparse.where(F.col(who) % 4 == 0).select(who)
+        got = {(r.one, r.other): r.sim for r in to(asked, sparse, **how).collect()}
+        assert set(got) == {(a, b) for a in ids if a % 4 == 0 for b in ids if a != b}
+        assert got == pytest.approx({c: pairs.get((min(c), max(c)), -1.0) for c in got})
+
+
+def test_ranks_of_whole_lists(spark):
+    rng = random.Random(9)
+    rows = [(one, other, rng.choice([0.1, 0.5, -1.0])) for one in range(6) for other in range(one * 40)]
+    got = R.ranked_lists(spark.createDataFrame(rows, "one long, other long, sim double").repartition(9)).collect()
+    for one in range(6):
+        want = sorted(((s, o) for x, o, s in rows if x == one), reverse=True)
+        assert [(r.sim, r.other) for r in sorted(got, key=lambda r: r.rank) if r.one == one] == want
+        assert sorted(r.rank for r in got if r.one == one) == list(range(1, len(want) + 1))

@@ -79,3 +79,33 @@ def test_ndcg_objective(hits):
 def test_one_hit_stays(spark, hits, index):
     only = hits.where("doc_id = 3")
     assert R.greedy(only, R.correlations(only, index)).count() == 1
+
+
+@pytest.mark.parametrize("objective, c", [("correlation", 1.0), ("correlation", 3.0), ("ap", 1.0), ("rr", 1.0)])
+def test_whole_lists_from_vectors(hits, index, objective, c):
+    out = R.greedy_over(hits, index, c, objective).orderBy("rank").collect()
+    assert [r.doc_id for r in out] == literal(objective, c)
+
+
+def test_correlations_over_chunks_of_terms(hits, index, monkeypatch):
+    monkeypatch.setattr(R, "COLUMNS", 2)
+    whole = {(r.a, r.b): r.corr for r in R.correlations(hits, index).collect()}
+    assert {(r.a, r.b): r.corr for r in R.correlations(hits, index, chunk=1).collect()} == pytest.approx(whole)
+
+
+def test_whole_lists_equal_the_matrix(spark):
+    """Long lists of several topics: rows of fixed documents against the matrix of all pairs."""
+    import random
+
+    from siftrank.operators.index import build_index
+
+    rng = random.Random(4)
+    texts = [(d, " ".join(rng.choice(["a", "b", "c", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(1, 40)))) for d in range(90)]
+    index = build_index(spark.createDataFrame(texts, "doc_id long, text string"))
+    rows = [(t, d, r + 1, 1 - r / 100, rng.random()) for t in range(3) for r, d in enumerate(rng.sample(range(90), 70))]
+    hits = spark.createDataFrame(rows, "topic_id long, doc_id long, rank int, score double, variance double")
+    corr = R.correlations(hits, index)
+    for objective in ("correlation", "ap", "rr"):
+        a = {(r.topic_id, r.doc_id): r["rank"] for r in R.greedy(hits, corr, 0.7, objective).collect()}
+        b = {(r.topic_id, r.doc_id): r["rank"] for r in R.greedy_over(hits, index, 0.7, objective).collect()}
+        assert a == b
