@@ -185,12 +185,12 @@ def rating_exists(spark, folder):
 
 @CATALOG.add("user_similarity", f"WITH {I.USER_PAIRS} SELECT a, b, sim FROM up")
 def user_similarity(spark, folder):
-    return I.user_pairs(spark, folder)
+    return R.user_similarities(I.ratings(spark, folder), decimals=6)
 
 
 @CATALOG.add("item_similarity", f"WITH {I.ITEM_PAIRS} SELECT a, b, sim FROM ip")
 def item_similarity(spark, folder):
-    return I.item_pairs(spark, folder)
+    return R.item_similarities(I.ratings(spark, folder), decimals=6)
 
 
 def _lists_sql(ctes: str, edges: str) -> str:

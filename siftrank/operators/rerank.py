@@ -23,39 +23,88 @@ FROZEN_BONUS = 100.0
 # Fixed value: the weight of the correlation for lists with mean and variance.
 MEAN_VARIANCE_WEIGHT = 0.01
 
-#: Terms of a topic that are multiplied in one task, and columns of its matrix at a time.
-CHUNK = 50_000
+#: Terms of a topic that one task has at most, columns of its matrix at a time, which part of a
+#: topic's documents must hold a term for it to be in the matrix, and pairs summed at a time.
+CHUNK = 500_000
 COLUMNS = 1024
+OFTEN = 12
+PAIRS = 4_000_000
 
 
 def _term_numbers(terms: pa.ChunkedArray) -> np.ndarray:
     return terms.combine_chunks().dictionary_encode().indices.to_numpy()
 
 
-def _pair_sums(rows: pa.Table) -> pa.Table:
-    """Shared terms and products of the pairs of a topic, over a chunk of its terms."""
-    topic = rows["topic_id"][0]
-    ranks, at = np.unique(rows["rank"].to_numpy(), return_inverse=True)
-    docs = rows["doc_id"].combine_chunks().take(pa.array(np.unique(at, return_index=True)[1]))
-    term, tf = _term_numbers(rows["term"]), rows["tf"].to_numpy().astype(np.float64)
-    order = np.argsort(term, kind="stable")
-    at, term, tf = at[order], term[order], tf[order]
-    shared = np.zeros((len(ranks), len(ranks)))
-    dot = np.zeros_like(shared)
-    for low in range(0, int(term[-1]) + 1, COLUMNS):
-        a, b = np.searchsorted(term, [low, low + COLUMNS])
-        part = np.zeros((len(ranks), COLUMNS))
-        part[at[a:b], term[a:b] - low] = tf[a:b]
+def _products(at: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared terms and products of all pairs of ``n`` documents, from rows sorted by term.
+
+    Terms of many documents are multiplied as matrices of bounded width; of the others the pairs
+    of rows that share one are few, and are summed.
+    """
+    begins = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    sizes = np.diff(np.append(begins, len(term)))
+    often = sizes > max(8, n // OFTEN)
+    dot, shared = np.zeros((n, n)), np.zeros((n, n))
+    row_often = np.repeat(often, sizes)
+    column = np.repeat(np.cumsum(often) - 1, sizes)[row_often]
+    rows, values = at[row_often], tf[row_often]
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, COLUMNS))
+        part[rows[a:b], column[a:b] - low] = values[a:b]
         dot += part @ part.T
-        present = (part > 0).astype(np.float64)
+        present = (part > 0).astype(np.float32)
         shared += present @ present.T
+    # each row of a rarer term beside the rows of the term after it
+    row, left = np.flatnonzero(~row_often), (np.repeat(begins + sizes, sizes) - np.arange(len(term)) - 1)[~row_often]
+    ends = np.cumsum(left)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PAIRS)), len(row)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first = np.repeat(row[a:b], left[a:b])
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(left[a:b]) - left[a:b], left[a:b])
+        cell = np.minimum(at[first], at[second]) * n + np.maximum(at[first], at[second])
+        dot += np.bincount(cell, tf[first] * tf[second], n * n).reshape(n, n)
+        shared += np.bincount(cell, minlength=n * n).reshape(n, n)
+    return shared, dot
+
+
+def _topic(rows: pa.Table) -> tuple:
+    """Documents by rank, and the rows by term: place of the document, term, frequency."""
+    ranks, first, at = np.unique(rows["rank"].to_numpy(), return_index=True, return_inverse=True)
+    term, tf = _term_numbers(rows["term"]), rows["tf"].to_numpy().astype(np.float64)
+    order = np.argsort(term, kind="stable")
+    return rows["doc_id"].combine_chunks().take(pa.array(first)), at[order], term[order], tf[order], len(ranks)
+
+
+def _pair_sums(rows: pa.Table) -> pa.Table:
+    """Shared terms and products of the pairs of a topic, over a chunk of its terms."""
+    docs, at, term, tf, n = _topic(rows)
+    shared, dot = _products(at, term, tf, n)
     i, j = np.nonzero(np.triu(shared, 1))
     return pa.table(
-        [pa.repeat(topic, len(i)), docs.take(pa.array(i)), docs.take(pa.array(j)), pa.array(shared[i, j].astype(np.int64)), pa.array(dot[i, j])],
+        [pa.repeat(rows["topic_id"][0], len(i)), docs.take(pa.array(i)), docs.take(pa.array(j)), pa.array(shared[i, j].astype(np.int64)), pa.array(dot[i, j])],
         ["topic_id", "doc_id_a", "doc_id_b", "o", "dot"],
     )
 
 
+def _correlated(rows: pa.Table) -> pa.Table:
+    """The correlations of a topic all of whose terms are here."""
+    docs, at, term, tf, n = _topic(rows)
+    shared, dot = _products(at, term, tf, n)
+    size, mean = np.bincount(at, minlength=n).astype(np.float64), np.bincount(at, tf, n)
+    mean /= size
+    spread = np.bincount(at, tf * tf, n) - size * mean**2
+    i, j = np.nonzero(np.triu(shared, 1))
+    o = shared[i, j]
+    both = (spread[i] + mean[i] ** 2 * (size[j] - o)) * (spread[j] + mean[j] ** 2 * (size[i] - o))
+    cov = dot[i, j] - mean[i] * mean[j] * o
+    corr = np.divide(cov, np.sqrt(np.maximum(both, 0)), out=np.zeros(len(i)), where=both > 1e-9)
+    return pa.table(
+        [pa.repeat(rows["topic_id"][0], len(i)), docs.take(pa.array(i)), docs.take(pa.array(j)), pa.array(corr, mask=both <= 1e-9)],
+        ["topic_id", "a", "b", "corr"],
+    )
+
+
 def correlations(hits: DataFrame, index: Index, chunk: int = CHUNK) -> DataFrame:
     """(topic_id, a, b, corr): Pearson correlation of the term vectors of the hits
     of a topic, ``a`` ranked above ``b``, over the terms of either document.
@@ -66,14 +115,15 @@ def correlations(hits: DataFrame, index: Index, chunk: int = CHUNK) -> DataFrame
     rows, vectors = _hit_vectors(hits, index)
     chunks = rows.groupBy("topic_id").agg(F.ceil(F.count_distinct("term") / F.lit(chunk)).alias("_chunks"))
     dealt = rows.join(chunks, "topic_id").withColumn("_chunk", F.pmod(F.xxhash64("term"), "_chunks"))
-    ids = rows.schema
-    schema = (
-        f"topic_id {ids['topic_id'].dataType.simpleString()}, doc_id_a {ids['doc_id'].dataType.simpleString()}, "
-        f"doc_id_b {ids['doc_id'].dataType.simpleString()}, o long, dot double"
+    topic, doc = (rows.schema[name].dataType.simpleString() for name in ("topic_id", "doc_id"))
+    columns = ["topic_id", "_chunk", "term", "doc_id", "rank", "tf"]
+    # a topic of one chunk needs no sums: its task has its documents' whole vectors
+    whole = dealt.where("_chunks = 1").select(*columns).groupBy("topic_id").applyInArrow(
+        _correlated, f"topic_id {topic}, a {doc}, b {doc}, corr double"
     )
     pairs = (
-        dealt.select("topic_id", "_chunk", "term", "doc_id", "rank", "tf")
-        .groupBy("topic_id", "_chunk").applyInArrow(_pair_sums, schema)
+        dealt.where("_chunks > 1").select(*columns)
+        .groupBy("topic_id", "_chunk").applyInArrow(_pair_sums, f"topic_id {topic}, doc_id_a {doc}, doc_id_b {doc}, o long, dot double")
         .groupBy("topic_id", "doc_id_a", "doc_id_b").agg(F.sum("o").alias("o"), F.sum("dot").alias("dot"))
     )
     left = vectors.select(*[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "mu", "sq")])
@@ -85,12 +135,12 @@ def correlations(hits: DataFrame, index: Index, chunk: int = CHUNK) -> DataFrame
     var_a = c("sq_a") - c("n_a") * c("mu_a") ** 2 + c("mu_a") ** 2 * (c("n_b") - c("o"))
     var_b = c("sq_b") - c("n_b") * c("mu_b") ** 2 + c("mu_b") ** 2 * (c("n_a") - c("o"))
     spread = var_a * var_b
-    return joined.select(
+    return whole.unionByName(joined.select(
         "topic_id",
         c("doc_id_a").alias("a"),
         c("doc_id_b").alias("b"),
         F.when(spread > 1e-9, cov / F.sqrt(spread)).alias("corr"),
-    )
+    ))
 
 
 def _hit_vectors(hits: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:

@@ -89,6 +89,7 @@ def test_whole_lists_from_vectors(hits, index, objective, c):
 
 def test_correlations_over_chunks_of_terms(hits, index, monkeypatch):
     monkeypatch.setattr(R, "COLUMNS", 2)
+    monkeypatch.setattr(R, "PAIRS", 2)
     whole = {(r.a, r.b): r.corr for r in R.correlations(hits, index).collect()}
     assert {(r.a, r.b): r.corr for r in R.correlations(hits, index, chunk=1).collect()} == pytest.approx(whole)
 
@@ -105,6 +106,8 @@ def test_whole_lists_equal_the_matrix(spark):
     rows = [(t, d, r + 1, 1 - r / 100, rng.random()) for t in range(3) for r, d in enumerate(rng.sample(range(90), 70))]
     hits = spark.createDataFrame(rows, "topic_id long, doc_id long, rank int, score double, variance double")
     corr = R.correlations(hits, index)
+    plain = {(r.topic_id, r.a, r.b): r["corr"] for r in corr.collect()}
+    assert {(r.topic_id, r.a, r.b): r["corr"] for r in R.correlations(hits, index, chunk=5).collect()} == pytest.approx(plain)
     for objective in ("correlation", "ap", "rr"):
         a = {(r.topic_id, r.doc_id): r["rank"] for r in R.greedy(hits, corr, 0.7, objective).collect()}
         b = {(r.topic_id, r.doc_id): r["rank"] for r in R.greedy_over(hits, index, 0.7, objective).collect()}
