@@ -122,16 +122,16 @@ def sql(limit: int = LIMIT) -> str:
     """The same in SQL, for tables without rows that are alike and too many for a shard."""
     return f"""
 WITH h AS (
-  SELECT doc_id, CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), chr(0), coalesce(text, ''))), 1, {BITS // 4}) AS BIGINT) AS h,
+  SELECT row_number() OVER () AS r, doc_id, CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), chr(0), coalesce(text, ''))), 1, {BITS // 4}) AS BIGINT) AS h,
     CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes
   FROM documents
 ), deep AS (
-  SELECT doc_id, h, n_bytes, depth, h >> ({BITS} - depth) AS prefix FROM h, (SELECT unnest(range(0, {BITS + 1})) AS depth)
+  SELECT r, doc_id, h, n_bytes, depth, h >> ({BITS} - depth) AS prefix FROM h, (SELECT unnest(range(0, {BITS + 1})) AS depth)
 ), fit AS (
   SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM deep GROUP BY depth, prefix HAVING sum(n_bytes) <= {limit}
 ), first AS (
   SELECT doc_id, h, n_bytes, depth, prefix, shard_bytes,
-    row_number() OVER (PARTITION BY doc_id, h ORDER BY depth) AS k
+    row_number() OVER (PARTITION BY r ORDER BY depth) AS k
   FROM deep JOIN fit USING (depth, prefix)
 )
 SELECT doc_id, n_bytes, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, shard_bytes
