@@ -320,6 +320,33 @@ def field_sorted_topk(spark, folder):
     ).select("topic_id", "doc_id", "lang", "n_chars", "score", "rank")
 
 
+# Sources named as they are written, in small letters for some and capitals for others:
+# by bytes all capitals come first, in the locale's order they stand beside each other.
+_NAMED = "CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END"
+
+
+@CATALOG.add(
+    "locale_sorted_topk",
+    f"""WITH {I.TOPICS}, scored AS (
+SELECT topic_id, doc_id, round(sum(qtf * ((tf / dl) * log2(n_docs / df))), 6) AS score
+FROM qt JOIN lex USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY ALL),
+ranked AS (SELECT topic_id, doc_id, name, score,
+  row_number() OVER (PARTITION BY topic_id ORDER BY name COLLATE de, doc_id) AS rank
+  FROM scored JOIN (SELECT doc_id, {_NAMED} AS name FROM documents) USING (doc_id) WHERE score > 0)
+SELECT topic_id, doc_id, name, score, rank FROM ranked WHERE rank <= 1000""",
+)
+def locale_sorted_topk(spark, folder):
+    from siftrank.sources.tables import load
+
+    scored = S.rounded(
+        S.score(I.corpus_index(spark, folder), I.prepared_terms(spark, folder), models.tf_idf())
+    )
+    named = load(spark, folder, "documents").select("doc_id", F.expr(_NAMED).alias("name"))
+    return S.top_k_by_fields(scored, named, [("name", False)], collation="de").select(
+        "topic_id", "doc_id", "name", "score", "rank"
+    )
+
+
 # A topic's terms met once are optional, met twice or more required; the words of
 # the second list are refused. Fixed values for the query, not for the engine.
 _REFUSED = ("der", "que")

@@ -360,13 +360,17 @@ def top_k_by_fields(
     sort: Sequence[tuple[str, bool]],
     k: int = 1000,
     positive_only: bool = True,
+    collation: str | None = None,
 ) -> DataFrame:
     """Top ``k`` by fields: ``sort`` lists (column, descending); ``score`` and
-    ``doc_id`` are columns like any other. Ties go to the lower document."""
+    ``doc_id`` are columns like any other. Ties go to the lower document. Strings go by their
+    bytes or, with a ``collation`` (``UNICODE``, ``de``, ...), by the order of that locale."""
     kept = scored.where(F.col("score") > 0) if positive_only else scored
     fields = [c for c, _ in sort if c not in ("score", "doc_id")]
     with_fields = kept.join(documents.select("doc_id", *fields), "doc_id") if fields else kept
-    order = [F.col(c).desc() if down else F.col(c).asc() for c, down in sort]
+    kinds = dict(with_fields.dtypes)
+    by = [(F.collate(F.col(c), collation) if collation and kinds[c] == "string" else F.col(c), down) for c, down in sort]
+    order = [c.desc() if down else c.asc() for c, down in by]
     return top_k(with_fields, k, order=[*order, F.col("doc_id").asc()])
 
 

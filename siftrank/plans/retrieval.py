@@ -27,11 +27,32 @@ def evaluate_model(
     k: int = 1000,
     rerank_weight: float | None = None,
     decimals: int | None = None,
+    objective: str | None = None,
+    max_topics: int | None = None,
 ) -> Evaluation:
-    """The whole passage. The run feeds three branches, so it is written once."""
-    hits = search.search(index, query_terms, model, k, decimals=decimals)
-    if rerank_weight is not None:
-        hits = rerank.greedy(hits, rerank.correlations(hits, index), weight=rerank_weight)
+    """The whole passage. The run feeds three branches, so it is written once.
+
+    Whole hit lists are re-ranked for an ``objective``: ``correlation`` (the default with a
+    weight), ``meanvar``, ``ap``, ``rr`` or ``ndcg``; all but the first need a model with a
+    variance. ``max_topics`` keeps the first topics by id.
+    """
+    if max_topics is not None:
+        first = query_terms.select("topic_id").distinct().orderBy("topic_id").limit(max_topics)
+        query_terms = query_terms.join(first, "topic_id", "left_semi")
+        judgements = judgements.join(first, "topic_id", "left_semi")
+    if objective is None and rerank_weight is not None:
+        objective = "correlation"
+    weight = 1.0 if rerank_weight is None else rerank_weight
+    if objective in (None, "correlation"):
+        hits = search.search(index, query_terms, model, k, decimals=decimals)
+    else:
+        hits = search.mean_variance_search(index, query_terms, model, k, decimals=decimals)
+    if objective == "ndcg":
+        hits = rerank.ndcg_order(hits)
+    elif objective == "meanvar":
+        hits = rerank.mean_variance_greedy_over(hits, index, weight)
+    elif objective is not None:
+        hits = rerank.greedy_over(hits, index, weight, objective)
     run = write_and_reload(hits, "run")
     per_topic = evaluate.metrics(evaluate.judge(run, judgements), judgements)
     return Evaluation(run, per_topic, evaluate.average(per_topic))

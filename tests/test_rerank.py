@@ -112,3 +112,34 @@ def test_whole_lists_equal_the_matrix(spark):
         a = {(r.topic_id, r.doc_id): r["rank"] for r in R.greedy(hits, corr, 0.7, objective).collect()}
         b = {(r.topic_id, r.doc_id): r["rank"] for r in R.greedy_over(hits, index, 0.7, objective).collect()}
         assert a == b
+
+
+def test_products_of_often_and_rare_terms(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(R, "COLUMNS", 2)
+    monkeypatch.setattr(R, "PAIRS", 3)
+    rng = random.Random(6)
+    rows = sorted({(rng.choice([0, 1, 2, rng.randint(3, 40)]), rng.randrange(30)) for _ in range(260)})
+    term, at = (np.array(x) for x in zip(*rows))
+    tf = np.array([float(rng.randint(1, 4)) for _ in rows])
+    whole = np.zeros((30, 41))
+    whole[at, term] = tf
+    shared, dot = R._products(at, term, tf, 30)
+    up = np.triu_indices(30, 1)
+    assert (dot[up] == (whole @ whole.T)[up]).all() and (shared[up] == ((whole > 0) * 1.0 @ (whole > 0).T)[up]).all()
+
+
+def test_evaluation_by_objectives_and_of_few_topics(spark, index):
+    from siftrank.functions import models
+    from siftrank.operators.search import parse_topics
+    from siftrank.plans.retrieval import evaluate_model
+
+    topics = parse_topics(spark.createDataFrame([(1, "red fox"), (2, "hill den"), (3, "blue")], "topic_id long, title string"))
+    judged = spark.createDataFrame([(1, 1, True), (2, 4, True), (3, 2, True)], "topic_id long, doc_id long, relevant boolean")
+    for objective in (None, "correlation", "meanvar", "ap", "rr", "ndcg"):
+        made = evaluate_model(index, topics, judged, models.risk_adjusted(a=2.0), objective=objective, max_topics=2)
+        assert sorted(r.topic_id for r in made.run.select("topic_id").distinct().collect()) == [1, 2]
+        assert made.per_topic.count() == 2 and made.summary.count() == 1
