@@ -40,8 +40,9 @@ from siftrank.llm.common import by_batch, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED = 100_000
-REMEMBERED_BYTES = 12 << 20
+REMEMBERED = 300_000
+REMEMBERED_BYTES = 36 << 20
+NEIGHBOURS = 400_000
 
 #: Kinds of models and of pieces, as numbered in model files (fixed values).
 UNIGRAM, BPE = 1, 2
@@ -141,7 +142,7 @@ class Transducer:
 
     def _stands(self, last: int, number: int, piece: str) -> bool:
         """Whether a merge model leaves ``piece`` beside ``last`` (-1: at a cut or after bytes)."""
-        if len(self.beside) >= REMEMBERED:
+        if len(self.beside) >= NEIGHBOURS:
             self.beside.clear()
         before = [self.name[last]] if last >= 0 else []
         stands = self.beside[last << 32 | number] = self.merged("".join(before) + piece) == [*before, piece]
