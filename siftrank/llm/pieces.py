@@ -13,9 +13,9 @@ side by side if merging their characters gives just these two, and infinitely mu
 otherwise. A sequence all of whose neighbours stand that test is what merging the whole
 text gives, and there is one such sequence, so the shortest path is the model's encoding.
 
-Where no piece has a character before the space sign, every path is cut there, and at
-characters that occur in no longer piece; parts between such cuts are composed on their own
-and remembered for the rest of the task. What is remembered is kept in two generations of ``REMEMBERED``
+Where no piece has a character before the space sign, every path is cut there, at
+characters that occur in no longer piece, and after letters that every piece goes on from with
+letters only; parts between such cuts are composed on their own and remembered for the rest of the task. What is remembered is kept in two generations of ``REMEMBERED``
 parts or ``REMEMBERED_BYTES`` at most: when the newer is full the older goes, and a part met again moves to
 the newer. Transducer and memory go when the task ends.
 
@@ -48,6 +48,9 @@ NEIGHBOURS = 400_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
+#: What stands for a piece where there is none: the bytes of one character, and no arc left.
+FALLBACK, NOTHING = -2, -1
+
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Number and value of each field of a protocol-buffer message."""
@@ -97,18 +100,16 @@ class Transducer:
         if self.kind not in (UNIGRAM, BPE) or len(self.bytes) < 256:
             raise ValueError("only unigram and BPE models with byte fallback can be compiled")
         self.name = {number: piece for piece, number in self.ids.items()}
+        spelled = [self.name.get(number, "") for number in range(len(self.spelled))]
         self.arcs: dict = {}  # states as dicts from characters to states; "" gives the id of a piece
         for piece, number in self.ids.items():
             state = self.arcs
             for character in piece:
                 state = state.setdefault(character, {})
             state[""] = number
-        joined = {c for piece in self.ids if len(piece) > 1 for c in piece}
-        apart = "".join(c for c in "\n\r\t" if c not in joined and c not in self.ids)
-        lead = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
-        stop = re.escape(apart)
-        parts = rf"[^{stop}]+" if lead else rf"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+"
-        self.parts = re.compile((rf"[{stop}]|" if apart else "") + parts)
+        self.length = [len(piece) for piece in spelled] + [1, 0]  # the last two: byte fallback, nothing
+        self.shorter = [self._beginning(piece) for piece in spelled] + [NOTHING, NOTHING]
+        self.parts = re.compile(self._cuts())
         self.known: dict[str, bytes] = {}  # a part's ids, as 32-bit numbers
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -127,6 +128,27 @@ class Transducer:
         else:
             self.spelled.append(b"")
 
+    def _cuts(self) -> str:
+        """The parts of a text that no piece reaches across, as a pattern."""
+        beside = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        joined = {c for pair in beside for c in pair}
+        stop = "".join(c for c in "\n\r\t" if c not in joined and c not in self.ids)
+        end, sign = re.escape(stop), rf"[{re.escape(stop)}]|" if stop else ""
+        if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
+            return rf"{sign}[^{end}]+" if stop else r"(?s:.)+"
+        # Letters after which no piece goes on with anything else: a part ends after a run of them.
+        letters, mixed = re.compile(r"[^\W\d_]"), set()
+        while more := {a for a, b in beside if letters.match(a) and a not in mixed and (not letters.match(b) or b in mixed)}:
+            mixed |= more
+        others = re.escape("".join(sorted(mixed)))
+        lead = rf"(?:[^\w{SPACE}{end}]|[\d_{others}])"
+        return rf"{sign}{SPACE}*{lead}*[^\W\d_{others}]+|{SPACE}*{lead}+|{SPACE}+"
+
+    def _beginning(self, piece: str) -> int:
+        """The longest other piece that begins ``piece``; without any, byte fallback follows a longer one."""
+        ends = range(len(piece) - 1, 0, -1)
+        return next((self.ids[piece[:end]] for end in ends if piece[:end] in self.ids), FALLBACK if len(piece) > 1 else NOTHING)
+
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best neighbours, the first at a tie."""
         parts, ids, cost = list(text), self.ids, self.cost
@@ -148,37 +170,50 @@ class Transducer:
         stands = self.beside[last << 32 | number] = self.merged("".join(before) + piece) == [*before, piece]
         return stands
 
+    def _longest(self, part: str, start: int) -> int:
+        """The longest piece along the arcs from ``start``, or the arc of byte fallback."""
+        state, number, size = self.arcs.get(part[start]), FALLBACK, len(part)
+        while state is not None:
+            number = state.get("", number)
+            start += 1
+            state = state.get(part[start]) if start < size else None
+        return number
+
     def _shortest_merged(self, part: str) -> bytes:
-        """Shortest path of a merge model: its finite costs are all zero.
+        """Shortest path of a merge model: its finite costs are all zero, so a path found is shortest.
 
-        A place has one last piece at most to which a path of finite cost leads, so the
-        places are walked once, along the arcs of the pieces' characters.
+        From each place the longest piece is tried first, then its beginnings, byte fallback
+        last. A place has one last piece at most to which a path of finite cost leads, so a
+        place without a way on is not entered again.
         """
-        size, beside, root = len(part), self.beside, self.arcs
-        last, back = [None] * (size + 1), [0] * (size + 1)
-        last[0] = -1
-        for start in range(size):
-            before = last[start]
-            if before is None:
-                continue
-            state = root.get(part[start])
-            if state is None or "" not in state:  # byte fallback: an arc of its own
-                last[start + 1], back[start + 1] = -1, start
-            end, key = start, before << 32
-            while state is not None:
-                end += 1
-                number = state.get("")
-                if number is not None and last[end] is None:
-                    stands = beside.get(key | number)
-                    if stands or stands is None and self._stands(before, number, part[start:end]):
-                        last[end], back[end] = number, start
-                state = state.get(part[end]) if end < size else None
-        path, end = [], size
-        while end:
-            start = back[end]
-            path.append((last[end],) if last[end] >= 0 else [self.bytes[b] for b in part[start].encode()])
-            end = start
-        return array("i", [number for ids in reversed(path) for number in ids]).tobytes()
+        size, beside, shorter, length = len(part), self.beside, self.shorter, self.length
+        path, dead, at, last, number = [], set(), 0, -1, self._longest(part, 0)
+        while True:
+            while number != NOTHING:
+                end = at + length[number]
+                if end not in dead:
+                    stands = number == FALLBACK or beside.get(last << 32 | number)
+                    if stands or stands is None and self._stands(last, number, part[at:end]):
+                        break
+                number = shorter[number]
+            if number != NOTHING:
+                path.append(number)
+                if end == size:
+                    break
+                at, last = end, max(number, -1)
+                number = self._longest(part, at)
+            else:  # back to the place before, and on with the next piece there
+                dead.add(at)
+                number = path.pop()
+                at, last = at - length[number], max(path[-1], -1) if path else -1
+                number = shorter[number]
+        if FALLBACK not in path:
+            return array("i", path).tobytes()
+        ids, at = array("i"), 0
+        for number in path:
+            ids.extend([number] if number >= 0 else [self.bytes[b] for b in part[at].encode()])
+            at += length[number]
+        return ids.tobytes()
 
     def _shortest_summed(self, part: str) -> bytes:
         """Shortest path where each piece has a cost; a character's bytes cost most of all."""

@@ -67,3 +67,14 @@ def test_very_long_texts_through_the_stages(spark):
     assert {r["doc_id"]: r["n_ip"] for r in sanitise.report(docs).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
     encoded = {r["doc_id"]: r for r in pieces.encode(docs, pieces.read_model()).collect()}
     assert all(r["exact"] for r in encoded.values()) and encoded[1]["ids"] == encoded[4]["ids"]
+
+
+def test_parts_join_to_the_text_and_their_pieces_to_the_library_s():
+    import sentencepiece
+
+    rng = random.Random(7)
+    machine, library = pieces.compiled(pieces.read_model()), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for size in [*range(60)] * 20 + [5000]:
+        text = "".join(rng.choice("abcdeXY12²½.,_-()é漢字हिßЖ  \n\t\r😀") for _ in range(size))
+        assert "".join(machine.parts.findall(text)) == text
+        assert machine.encode(text).tolist() == library.encode(text)
