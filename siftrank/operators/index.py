@@ -20,6 +20,7 @@ class Index(NamedTuple):
     lexicon: DataFrame  # term, df, ctf
     lengths: DataFrame  # doc_id, dl
     stats: DataFrame  # n_docs, cl, avg_dl, cl_q, avg_dl_q  (one row)
+    normed: DataFrame | None = None  # term, doc_id, tf, norm2 of the document: stored indexes only
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:

@@ -91,34 +91,43 @@ def term_scores(
     )
 
 
-def score(
-    index: Index,
-    query_terms: DataFrame,
-    model: Model,
-    allowed: DataFrame | None = None,
-    by: Sequence[str] = (),
+def score(index: Index, query_terms: DataFrame, model: Model, allowed: DataFrame | None = None) -> DataFrame:
+    """(topic_id, doc_id, score, *extras) for every candidate."""
+    if model.cosine:
+        return cosine_scores(index, query_terms, allowed)
+    return _scores(index, query_terms, {"score": model}, model.extras, allowed)
+
+
+def score_grid(
+    index: Index, query_terms: DataFrame, models: Sequence[Model], allowed: DataFrame | None = None
 ) -> DataFrame:
-    """(topic_id, *by, doc_id, score, *extras) for every candidate.
+    """(topic_id, doc_id, score_0, score_1, ...): one model at several parameters.
 
-    ``by`` names further query-side columns (a sweep parameter) that the model
-    reads and that separate the results.
+    A match is one row whatever the number of models; each adds a column to the aggregate.
     """
-    if model.cosine:
-        return cosine_scores(index, query_terms, allowed)
+    if len({(m.name, m.absent is None, m.absent_term is None) for m in models}) != 1 or models[0].cosine:
+        raise ValueError("a grid takes one additive model at several parameters")
+    return _scores(index, query_terms, {f"score_{i}": m for i, m in enumerate(models)}, {}, allowed)
+
+
+def _scores(
+    index: Index, query_terms: DataFrame, models: dict[str, Model], extras: dict, allowed: DataFrame | None
+) -> DataFrame:
     query_terms = prepare(index, query_terms)
-    keys = ["topic_id", *by]
-    if model.absent is not None:
-        return _score_with_pair_defaults(index, query_terms, model, allowed, keys)
-    if model.absent_term is not None:
-        return _score_with_split_defaults(index, query_terms, model, allowed, keys)
-    rows = match(index, query_terms, allowed).select(
-        *keys, "doc_id", (F.col("qtf") * model.present(_pair())).alias("part")
-    )
-    return rows.groupBy(*keys, "doc_id").agg(F.sum("part").alias("score"))
+    kind = next(iter(models.values()))
+    if kind.absent is not None:
+        values = {name: (model.present, model.absent) for name, model in models.items()}
+        return _score_with_pair_defaults(index, query_terms, values | extras, allowed)
+    if kind.absent_term is not None:
+        return _score_with_split_defaults(index, query_terms, models, allowed)
+    p = _pair()
+    parts = [(F.col("qtf") * model.present(p)).alias(name) for name, model in models.items()]
+    rows = match(index, query_terms, allowed).select("topic_id", "doc_id", *parts)
+    return rows.groupBy("topic_id", "doc_id").agg(*[F.sum(name).alias(name) for name in models])
 
 
 def _score_with_split_defaults(
-    index: Index, query_terms: DataFrame, model: Model, allowed: DataFrame | None, keys: list[str]
+    index: Index, query_terms: DataFrame, models: dict[str, Model], allowed: DataFrame | None
 ) -> DataFrame:
     """Sum of all defaults plus, for present terms, score minus default.
 
@@ -127,43 +136,71 @@ def _score_with_split_defaults(
     candidate. No (candidate x term) rows appear.
     """
     p = _pair()
-    of_topic = W.partitionBy(*keys)
-    query = known_terms(index, query_terms).withColumns(_stats_columns(index))
-    query = query.withColumn("term_default", model.absent_term(p)).withColumns(
-        {
-            "topic_default": F.sum(F.col("qtf") * F.col("term_default")).over(of_topic),
-            "topic_length": F.sum("qtf").over(of_topic),
-        }
+    of_topic = W.partitionBy("topic_id")
+    query = (
+        known_terms(index, query_terms)
+        .withColumns(_stats_columns(index))
+        .withColumns({f"term_{name}": model.absent_term(p) for name, model in models.items()})
+    )
+    query = query.withColumns(
+        {f"topic_{name}": F.sum(F.col("qtf") * F.col(f"term_{name}")).over(of_topic) for name in models}
+        | {"topic_length": F.sum("qtf").over(of_topic)}
     )
-    default = F.col("term_default") + model.absent_doc(p)
     rows = query.join(_restrict(index.postings, allowed), "term").select(
-        *keys,
+        "topic_id",
         "doc_id",
-        (F.col("qtf") * (model.present(p) - default)).alias("gain"),
-        (F.col("topic_default") + F.col("topic_length") * model.absent_doc(p)).alias("base"),
+        *[
+            (F.col("qtf") * (model.present(p) - (F.col(f"term_{name}") + model.absent_doc(p)))).alias(f"gain_{name}")
+            for name, model in models.items()
+        ],
+        *[
+            (F.col(f"topic_{name}") + F.col("topic_length") * model.absent_doc(p)).alias(f"base_{name}")
+            for name, model in models.items()
+        ],
+    )
+    return rows.groupBy("topic_id", "doc_id").agg(
+        *[(F.max(f"base_{name}") + F.sum(f"gain_{name}")).alias(name) for name in models]
+    )
+
+
+def _topic_defaults(index: Index, query_terms: DataFrame, values: dict) -> DataFrame:
+    """(topic_id, dl, default_*): what a topic's terms give a document of each length that has none of them.
+
+    The lengths come from the lengths table, not from the matches, so postings are read once. The list of
+    distinct lengths is short whatever the collection: ``n`` of them take ``n * n / 2`` tokens at least.
+    """
+    p = _pair()
+    spark = query_terms.sparkSession
+    lengths = index.lengths.select("dl").distinct().agg(F.collect_list("dl").alias("dl"))
+    # A stored query table is one small file; its terms are dealt out before each grows by all lengths.
+    # Numbered partitions are not merged again by their size before that.
+    dealt = known_terms(index, query_terms).repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "topic_id", "term"
     )
-    return rows.groupBy(*keys, "doc_id").agg(
-        (F.max("base") + F.sum("gain")).alias("score")
+    return (
+        dealt.withColumn("dl", F.explode(lengths.scalar()))
+        .withColumns(_stats_columns(index))
+        .select("topic_id", "dl", *[(F.col("qtf") * absent(p)).alias(name) for name, (_, absent) in values.items()])
+        .groupBy("topic_id", "dl")
+        .agg(*[F.sum(name).alias(f"default_{name}") for name in values])
     )
 
 
 def _score_with_pair_defaults(
-    index: Index, query_terms: DataFrame, model: Model, allowed: DataFrame | None, keys: list[str]
+    index: Index, query_terms: DataFrame, values: dict, allowed: DataFrame | None
 ) -> DataFrame:
     """Defaults evaluated per (topic, document length, query term).
 
     A default depends on the document only through its length, and a collection
     has far fewer lengths than candidates. So defaults are summed per topic and
-    length that occurs, and each candidate, with its present terms summed as
+    length, and each candidate, with its present terms summed as
     score minus default, looks its sum up.
     """
     p = _pair()
-    values = {"score": (model.present, model.absent), **model.extras}
-    names = list(values)
-    matched = match(index, query_terms, allowed)
     gains = (
-        matched.select(
-            *keys,
+        match(index, query_terms, allowed)
+        .select(
+            "topic_id",
             "doc_id",
             "dl",
             *[
@@ -171,28 +208,13 @@ def _score_with_pair_defaults(
                 for name, (present, absent) in values.items()
             ],
         )
-        .groupBy(*keys, "doc_id", "dl")
-        .agg(*[F.sum(name).alias(f"gain_{name}") for name in names])
-    )
-    defaults = (
-        matched.select(*keys, "dl")
-        .distinct()
-        .join(known_terms(index, query_terms), keys)
-        .withColumns(_stats_columns(index))
-        .select(
-            *keys,
-            "dl",
-            *[
-                (F.col("qtf") * absent(p)).alias(name) for name, (_, absent) in values.items()
-            ],
-        )
-        .groupBy(*keys, "dl")
-        .agg(*[F.sum(name).alias(f"default_{name}") for name in names])
+        .groupBy("topic_id", "doc_id", "dl")
+        .agg(*[F.sum(name).alias(f"gain_{name}") for name in values])
     )
-    return gains.join(defaults, [*keys, "dl"]).select(
-        *keys,
+    return gains.join(_topic_defaults(index, query_terms, values), ["topic_id", "dl"]).select(
+        "topic_id",
         "doc_id",
-        *[(F.col(f"gain_{n}") + F.col(f"default_{n}")).alias(n) for n in names],
+        *[(F.col(f"gain_{n}") + F.col(f"default_{n}")).alias(n) for n in values],
     )
 
 
@@ -224,27 +246,25 @@ def cosine_scores(
     index: Index, query_terms: DataFrame, allowed: DataFrame | None = None
 ) -> DataFrame:
     """Cosine of raw term-frequency vectors. Query norms count known terms and
-    unknown ones alike; document norms are one aggregate over the postings."""
+    unknown ones alike. A stored index carries document norms on its postings;
+    without one they are an aggregate over the postings of its own."""
     topic_norms = query_terms.groupBy("topic_id").agg(
         F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("topic_norm")
     )
-    postings = _restrict(index.postings, allowed)
-    doc_norms = postings.groupBy("doc_id").agg(
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("doc_norm")
-    )
-    dots = (
-        query_terms.join(postings, "term")
-        .groupBy("topic_id", "doc_id")
-        .agg(F.sum(F.col("qtf") * F.col("tf")).alias("dot"))
-    )
-    return (
-        dots.join(topic_norms, "topic_id")
-        .join(doc_norms, "doc_id")
-        .select(
-            "topic_id",
-            "doc_id",
-            (F.col("dot") / (F.col("topic_norm") * F.col("doc_norm"))).alias("score"),
+    dot = F.sum(F.col("qtf") * F.col("tf")).alias("dot")
+    if index.normed is not None:
+        matched = query_terms.join(_restrict(index.normed, allowed), "term")
+        dots = matched.groupBy("topic_id", "doc_id").agg(dot, F.sqrt(F.max("norm2")).alias("doc_norm"))
+    else:
+        postings = _restrict(index.postings, allowed)
+        doc_norms = postings.groupBy("doc_id").agg(
+            F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("doc_norm")
         )
+        dots = query_terms.join(postings, "term").groupBy("topic_id", "doc_id").agg(dot).join(doc_norms, "doc_id")
+    return dots.join(topic_norms, "topic_id").select(
+        "topic_id",
+        "doc_id",
+        (F.col("dot") / (F.col("topic_norm") * F.col("doc_norm"))).alias("score"),
     )
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siftrank.functions.models import Model
 from siftrank.operators import evaluate, rerank, search
@@ -58,23 +59,32 @@ def evaluate_model(
     return Evaluation(run, per_topic, evaluate.average(per_topic))
 
 
+#: Values of a grid that share a pass over the postings; each is a column of its aggregate.
+PER_PASS = 24
+
+
 def sweep_run(
     index: Index,
     query_terms: DataFrame,
-    model: Callable[[Column], Model],
+    model: Callable[[float], Model],
     values: Sequence[float],
     k: int = 1000,
     decimals: int | None = None,
 ) -> DataFrame:
     """(param, topic_id, doc_id, rank, score): one model over a grid of values.
 
-    The grid rides on the query terms as a column, so all values are scored in
-    one job and read the postings once.
+    The values are columns of one aggregate, so a match is one row whatever the grid;
+    only a candidate's sums become a row for each value.
     """
-    grid = search.prepare(index, query_terms).withColumn(
-        "param", F.explode(F.array(*[F.lit(float(v)) for v in values]))
-    )
-    scored = search.score(index, grid, model(F.col("param")), by=["param"])
+    terms = search.prepare(index, query_terms)
+    values = [float(v) for v in values]
+    parts = []
+    for first in range(0, len(values), PER_PASS):
+        some = values[first : first + PER_PASS]
+        cells = [F.struct(F.lit(v).alias("param"), F.col(f"score_{i}").alias("score")) for i, v in enumerate(some)]
+        wide = search.score_grid(index, terms, [model(v) for v in some])
+        parts.append(wide.select("topic_id", "doc_id", F.inline(F.array(*cells))))
+    scored = reduce(DataFrame.unionByName, parts)
     if decimals is not None:
         scored = search.rounded(scored, decimals)
     return search.top_k(scored, k, keys=["param", "topic_id"])
@@ -90,7 +100,7 @@ def sweep(
     index: Index,
     query_terms: DataFrame,
     judgements: DataFrame,
-    model: Callable[[Column], Model],
+    model: Callable[[float], Model],
     values: Sequence[float],
     k: int = 1000,
     decimals: int | None = None,

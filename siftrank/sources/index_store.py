@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from siftrank.operators.analyze import Analyzer, token_arrays
 from siftrank.operators.index import Index, collection_stats, lexicon, raw_postings, stemmed_postings
@@ -46,7 +46,7 @@ def index_documents(
     counts = raw_postings(arrays)
     if analyzer.stem:  # written first: the vocabulary and the join both read the counts
         counts = stemmed_postings(write_and_reload(counts, "counts")).repartition(n, "doc_id")
-    stored = _write_bucketed(counts, f"{path}/postings", n)
+    stored = _write_bucketed(_with_norms(counts), f"{path}/postings", n)
     _by_term(lexicon(stored.where(F.col("term").isNotNull()))).write.parquet(f"{path}/lexicon")
     stored.where("lead").select("doc_id", "dl").write.parquet(f"{path}/lengths")
     collection_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/stats")
@@ -57,7 +57,7 @@ def write_index(index: Index, path: str, buckets: int | None = None) -> Index:
     """Store any index (a merged one, say)."""
     spark = index.postings.sparkSession
     n = buckets or default_buckets(spark)
-    stored = _write_bucketed(index.postings.repartition(n, "doc_id"), f"{path}/postings", n)
+    stored = _write_bucketed(_with_norms(index.postings.repartition(n, "doc_id")), f"{path}/postings", n)
     _by_term(index.lexicon).write.parquet(f"{path}/lexicon")
     index.lengths.write.parquet(f"{path}/lengths")
     index.stats.write.parquet(f"{path}/stats")
@@ -77,6 +77,12 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return _open(spark, path, spark.table(table))
 
 
+def _with_norms(postings: DataFrame) -> DataFrame:
+    """The squared norm of its document beside each posting; rows lie by document, so nothing moves."""
+    of_document = W.partitionBy("doc_id")
+    return postings.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(of_document))
+
+
 def _write_bucketed(postings: DataFrame, path: str, n: int) -> DataFrame:
     """Rows come partitioned by document, so every task fills one bucket."""
     spark = postings.sparkSession
@@ -97,11 +103,13 @@ def _fresh_name() -> str:
 
 
 def _open(spark: SparkSession, path: str, postings: DataFrame) -> Index:
+    rows = postings.where(F.col("term").isNotNull())
     return Index(
-        postings.where(F.col("term").isNotNull()).select("term", "doc_id", "tf", "dl"),
+        rows.select("term", "doc_id", "tf", "dl"),
         spark.read.parquet(f"{path}/lexicon"),
         spark.read.parquet(f"{path}/lengths"),
         spark.read.parquet(f"{path}/stats"),
+        rows.select("term", "doc_id", "tf", "norm2") if "norm2" in postings.columns else None,
     )
 
 

@@ -175,3 +175,60 @@ def test_lookup_prunes_at_the_scan(spark, corpus):
     stored = index_store.index_documents(corpus, scratch_path(spark, "t"))
     plan = index_store.fetch_posting(stored, "fox")._jdf.queryExecution().toString()
     assert "EqualTo(term,fox)" in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, corpus):
+    from siftrank.operators.analyze import Analyzer
+    from siftrank.session import scratch_path
+    from siftrank.sources import index_store
+
+    return index_store.index_documents(corpus, scratch_path(spark, "t"), analyzer=Analyzer("whitespace"), buckets=4)
+
+
+@pytest.mark.parametrize("model", [M.vector_space(), M.risk_adjusted(2.0), M.risk_adjusted_plain(1.0)], ids=lambda m: m.name)
+def test_postings_are_read_once(index, stored, query, model):
+    terms = query if model.cosine else S.prepare(stored, query)
+    scored = S.score(stored, terms, model)
+    files = [line for line in _plan(scored).splitlines() if "FileScan" in line and "postings_" in line]
+    assert len(files) == 1
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({r.doc_id: r.score for r in S.score(index, query, model).collect()})
+
+
+def test_stored_norms(spark, stored):
+    from siftrank.session import scratch_path
+    from siftrank.sources import index_store
+
+    want = {(1, 6), (2, 2), (3, 9), (4, 7)}
+    assert {(r.doc_id, r.norm2) for r in stored.normed.collect()} == {(1, 6), (2, 2), (3, 9), (4, 7)} == want
+    path = scratch_path(spark, "t")
+    index_store.write_index(stored, path, buckets=2)
+    assert _rows(index_store.read_index(spark, path).normed) == _rows(stored.normed)
+
+
+@pytest.mark.parametrize(
+    "model", [lambda b: M.bm25(b=b), lambda x: M.jelinek_mercer(0.1 + x / 2), lambda x: M.risk_adjusted(x)], ids=["bm25", "jm", "risk"]
+)
+def test_a_sweep_matches_once_and_equals_single_searches(stored, query, model, monkeypatch):
+    from siftrank.plans import retrieval as P
+
+    terms, grid = S.prepare(stored, query), P.grid(0.0, 0.25, 1.0)
+    swept = P.sweep_run(stored, terms, model, grid, k=3)
+    want = {(v, r.doc_id, r.rank): r.score for v in grid for r in S.search(stored, terms, model(v), k=3).collect()}
+    plan = _plan(swept)
+    assert sum("FileScan" in line and "postings_" in line for line in plan.splitlines()) == 1
+    assert plan.index("inline") < plan.index("HashAggregate")  # values become rows after the sums
+    monkeypatch.setattr(P, "PER_PASS", 2)
+    for run in (swept, P.sweep_run(stored, terms, model, grid, k=3)):
+        assert {(r.param, r.doc_id, r.rank): r.score for r in run.collect()} == pytest.approx(want)
+
+
+def test_grids_take_one_model(stored, query):
+    with pytest.raises(ValueError, match="one additive model"):
+        S.score_grid(stored, query, [M.bm25(), M.dirichlet()])
+    with pytest.raises(ValueError, match="one additive model"):
+        S.score_grid(stored, query, [M.vector_space()])
