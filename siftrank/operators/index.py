@@ -20,7 +20,14 @@ class Index(NamedTuple):
     lexicon: DataFrame  # term, df, ctf
     lengths: DataFrame  # doc_id, dl
     stats: DataFrame  # n_docs, cl, avg_dl, cl_q, avg_dl_q  (one row)
-    normed: DataFrame | None = None  # term, doc_id, tf, norm2 of the document: stored indexes only
+    # Stored indexes only: the postings with ``norm2`` of the document and the ``shard`` of the term, of ``shards``.
+    stored: DataFrame | None = None
+    shards: int = 0
+
+
+def shard_of(term: Column, shards: int) -> Column:
+    """The part of a stored index that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
@@ -110,6 +117,7 @@ def quantised(index: Index) -> Index:
     squeezed = quantised_length(F.col("dl"))
     return index._replace(
         postings=index.postings.withColumn("dl", squeezed),
+        stored=None if index.stored is None else index.stored.withColumn("dl", squeezed),
         lengths=index.lengths.withColumn("dl", squeezed),
         stats=index.stats.select(
             "n_docs",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from siftrank.functions.models import Model, Pair
 from siftrank.operators.analyze import Analyzer, analyze
-from siftrank.operators.index import Index
+from siftrank.operators.index import Index, shard_of
 from siftrank.session import write_and_reload
 
 
@@ -63,18 +63,23 @@ def _restrict(postings: DataFrame, allowed: DataFrame | None) -> DataFrame:
     return postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def _hits(index: Index, query_terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Query terms joined with their postings. Of a stored index only the shards of these terms are
+    opened: Spark prunes by a side that has a filter, and here every row stands the filter."""
+    if index.stored is None:
+        return query_terms.join(_restrict(index.postings, allowed), "term")
+    side = query_terms.where(F.col("qtf") > 0).withColumn("shard", shard_of(F.col("term"), index.shards))
+    return side.join(_restrict(index.stored, allowed), ["term", "shard"]).drop("shard")
+
+
 def match(index: Index, query_terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """One row per (topic, document, shared term), with all a model needs."""
-    return (
-        known_terms(index, query_terms)
-        .join(_restrict(index.postings, allowed), "term")
-        .withColumns(_stats_columns(index))
-    )
+    return _hits(index, known_terms(index, query_terms), allowed).withColumns(_stats_columns(index))
 
 
 def candidates(index: Index, query_terms: DataFrame) -> DataFrame:
     """Documents with any query term."""
-    hits = query_terms.select("topic_id", "term").join(index.postings, "term")
+    hits = _hits(index, query_terms.select("topic_id", "term", "qtf"))
     return hits.select("topic_id", "doc_id").distinct()
 
 
@@ -146,7 +151,7 @@ def _score_with_split_defaults(
         {f"topic_{name}": F.sum(F.col("qtf") * F.col(f"term_{name}")).over(of_topic) for name in models}
         | {"topic_length": F.sum("qtf").over(of_topic)}
     )
-    rows = query.join(_restrict(index.postings, allowed), "term").select(
+    rows = _hits(index, query, allowed).select(
         "topic_id",
         "doc_id",
         *[
@@ -252,9 +257,9 @@ def cosine_scores(
         F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("topic_norm")
     )
     dot = F.sum(F.col("qtf") * F.col("tf")).alias("dot")
-    if index.normed is not None:
-        matched = query_terms.join(_restrict(index.normed, allowed), "term")
-        dots = matched.groupBy("topic_id", "doc_id").agg(dot, F.sqrt(F.max("norm2")).alias("doc_norm"))
+    if index.stored is not None:
+        norm = F.sqrt(F.max("norm2")).alias("doc_norm")
+        dots = _hits(index, query_terms, allowed).groupBy("topic_id", "doc_id").agg(dot, norm)
     else:
         postings = _restrict(index.postings, allowed)
         doc_norms = postings.groupBy("doc_id").agg(

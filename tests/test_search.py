@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,10 +206,10 @@ def test_stored_norms(spark, stored):
     from siftrank.sources import index_store
 
     want = {(1, 6), (2, 2), (3, 9), (4, 7)}
-    assert {(r.doc_id, r.norm2) for r in stored.normed.collect()} == {(1, 6), (2, 2), (3, 9), (4, 7)} == want
+    assert {(r.doc_id, r.norm2) for r in stored.stored.collect()} == want
     path = scratch_path(spark, "t")
     index_store.write_index(stored, path, buckets=2)
-    assert _rows(index_store.read_index(spark, path).normed) == _rows(stored.normed)
+    assert _rows(index_store.read_index(spark, path).stored) == _rows(stored.stored)
 
 
 @pytest.mark.parametrize(
@@ -232,3 +234,27 @@ def test_grids_take_one_model(stored, query):
         S.score_grid(stored, query, [M.bm25(), M.dirichlet()])
     with pytest.raises(ValueError, match="one additive model"):
         S.score_grid(stored, query, [M.vector_space()])
+
+
+def test_a_search_opens_only_the_shards_of_its_terms(spark, stored, index, query):
+    from siftrank.session import scratch_path
+    from siftrank.sources import index_store
+
+    path = scratch_path(spark, "t")
+    index_store.write_index(index, path, buckets=4, shards=64)
+    again = index_store.read_index(spark, path)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("postings_")]
+    for each in (stored, again):
+        scored = S.score(each, S.prepare(each, query), M.bm25())
+        assert "dynamicpruning" in _plan(scored)
+        assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({r.doc_id: r.score for r in S.score(index, query, M.bm25()).collect()})
+        ran = _plan(scored)
+        assert "Bucketed: true" in ran and "hashpartitioning(topic_id" not in ran
+        assert "dynamicpruningexpression(shard" in ran and "SubqueryBroadcast" in ran
+    assert re.search(r"PartitionFilters: \[[^\]]*shard", _plan(index_store.fetch_posting(again, "fox")))
+    assert _rows(index_store.fetch_posting(again, "fox")) == _rows(index.postings.where("term = 'fox'"))
+
+
+def test_squeezed_lengths_of_a_stored_index(stored, index, query):
+    scores = [{r.doc_id: r.score for r in S.score(X.quantised(i), query, M.bm25()).collect()} for i in (stored, index)]
+    assert scores[0] == pytest.approx(scores[1])
