@@ -175,3 +175,33 @@ def test_ranks_of_whole_lists(spark):
         want = sorted(((s, o) for x, o, s in rows if x == one), reverse=True)
         assert [(r.sim, r.other) for r in sorted(got, key=lambda r: r.rank) if r.one == one] == want
         assert sorted(r.rank for r in got if r.one == one) == list(range(1, len(want) + 1))
+
+
+@pytest.mark.parametrize("by", [R.user_similarities, R.item_similarities])
+@pytest.mark.parametrize("heavy", [0, 12, 10**6])
+def test_hot_ids_equal_packed_ones(sparse, by, heavy):
+    plain = edges(by(sparse, heavy=10**6, pairs=10**6))
+    assert edges(by(sparse, heavy=heavy, block=7, chunk=3, pairs=5)) == pytest.approx(plain)
+
+
+def test_pairs_are_shuffled_packed(spark):
+    """A pair used to be a row of two ids and three sums, written before it was added up."""
+    rng = random.Random(8)
+    cells = [(u, i, float(rng.randint(1, 5))) for u in range(60) for i in range(80)]
+    df = spark.createDataFrame([*cells, (None, 3, 1.0), (3, None, 2.0)], "user_id long, item_id long, rating double")
+    plan = R.item_similarities(df)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in exchanged if "sq_a" in line or "hashpartitioning(a#" in line and "b#" in line.split("),")[0]]
+    assert len(edges(R.item_similarities(df))) == 80 * 79 // 2
+
+
+def test_long_and_short_lists_rank_alike(spark):
+    rng = random.Random(4)
+    rows = [(a, b, rng.randint(-3, 3) / 3) for a in range(9) for b in range(3 * a + 1)]
+    df = spark.createDataFrame(rows, "one long, other long, sim double")
+    want = {}
+    for a in range(9):
+        for place, (_, b) in enumerate(sorted(((s, b) for x, b, s in rows if x == a), reverse=True), 1):
+            want[a, b] = place
+    for longest in (0, 10, 10**6):
+        assert {(r.one, r.other): r["rank"] for r in R.ranked_lists(df, longest=longest).collect()} == want
