@@ -205,3 +205,28 @@ def test_long_and_short_lists_rank_alike(spark):
             want[a, b] = place
     for longest in (0, 10, 10**6):
         assert {(r.one, r.other): r["rank"] for r in R.ranked_lists(df, longest=longest).collect()} == want
+
+
+def test_filled_lists_rank_as_filled_rows(spark):
+    rng = random.Random(6)
+    ids, asked = list(range(0, 90, 3)), [0, 9, 33, 87]
+    known = {(a, b): rng.choice([0.5, 0.2, -0.3, -1.0, -1.5]) for a in asked[:3] for b in ids if a != b and rng.random() < 0.4}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in known.items()], "one long, other long, sim double")
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "id long")
+    want = []
+    for a in asked:
+        rows = sorted(((known.get((a, b), -1.0), b) for b in ids if b != a), reverse=True)
+        want += [(a, b, s, n) for n, (s, b) in enumerate(rows, 1)]
+    got = R.ranked_lists(df, targets=frame([*asked, None]), others=frame([*ids, *ids, None]))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    got = R.filled_lists(df, frame(asked), frame(ids), stretch=4)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_lists_to_all_make_rows_without_ordering_them(spark, sparse):
+    """Every filled row used to be shuffled to be put in order."""
+    ids = [sparse.select(F.col("user_id").alias("id"))] * 2
+    known = R.user_similarities_to(sparse.select("user_id"), sparse, fill=None)
+    plan = R.ranked_lists(known, targets=ids[0], others=ids[1])._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("+- Generate posexplode")[0]
+    assert "Union" in top and "Window" not in top and "rangepartitioning" not in plan
