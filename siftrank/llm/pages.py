@@ -1,30 +1,30 @@
-"""Main text of web pages: markup first, then differencing of pages with near URLs.
+"""Main text of web pages: differencing of pages with near URLs, checked by markup.
 
-A page is cut into lines, one for each block of text. Where the markup says what a line is,
-that holds: inside an article or main element it is text, inside menus, page headers,
-footers, sidebars, notices, adverts, forms and reader comments it is not. What is left is
-undecided, and on pages with an article it is left out. On pages without one the nearest
-page tells: pages are ordered by host and URL path, each is paired with the neighbour of
-its host that shares the longer beginning of the path, their undecided lines are aligned by a
-longest common subsequence, and shared lines go. A page all of whose lines are shared
-is a copy, not a template; it keeps them.
+A page is cut into lines, one for each block of text that is ever shown. Pages are ordered by host and
+URL path, each is paired with the neighbour of its host that shares the longer beginning of the path, all
+their lines are aligned by a longest common subsequence, and shared lines go. Then markup is heard where
+it says what a line is: inside an article or main element it is text and stays; inside menus,
+page headers, footers, sidebars, notices, adverts, forms and reader comments it is not and goes. A page
+of which nothing would be left is a copy, not a template; it keeps the lines that markup does not rule out.
 
 (Differencing alone, ``markup=False``, is the method as named; README.md has its figures.)
 
-Order comes from range partitions, sorted and numbered by per-partition counts, so a
-host of any size spreads over tasks and pairs across their borders are found; pairs meet by
-position. Only line hashes are shuffled, not texts.
+Host, path and a key of the page are put in order first, by range partitions and per-partition counts, and cut into
+blocks of pages. Then the lines are shuffled once, to the block of their page; the pages at the edges of
+a block also go to the block beside it. So a host of any size spreads over tasks, every page meets both
+its neighbours, and nothing but order is stored.
 
 Null html is an empty page with an empty text; a null or strange URL has no host and no
-partner. Repeated rows are pages like any other. An empty table gives an empty result.
+partner. Of two neighbours with as much of the path in common a copy of the page comes first. Repeated rows are pages like any other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -63,6 +63,11 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 Line = tuple[str, bool]
 
+#: Pages of a block.
+PAGES = 4096
+_ORDER = ["host", "path", "key"]
+_LINES = "block int, extra boolean, texts array<string>, says array<tinyint>"
+
 
 def _means(tag: str, rest: str, in_text: bool) -> int:
     """1: article text, -1: not article, 0: as around it."""
@@ -88,23 +93,30 @@ def _means(tag: str, rest: str, in_text: bool) -> int:
 
 def lines_of(page: str) -> list[Line]:
     """The lines that markup does not rule out, with whether they are article text."""
-    lines: list[Line] = []
+    return [(text, says > 0) for text, says in marked_lines(page) if says >= 0]
+
+
+def marked_lines(page: str) -> list[tuple[str, int]]:
+    """The lines of a page, with what markup says: 1 article text, 0 nothing, -1 not article text."""
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
+    beside: list[str] = []
     stack: list[tuple[str, int]] = []
-    out = inside = 0  # open elements that rule text out, and that hold article text
+    out = inside = unseen = 0  # open elements that rule text out, that hold article text, that are never shown
 
     def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
-            if text and not out:
-                lines.append((text, inside > 0))
+        for held, says in ((beside, -1), (parts, -1 if out else int(inside > 0))):
+            if held:
+                text = " ".join(html.unescape("".join(held)).split())
+                held.clear()
+                if text:
+                    lines.append((text, says))
 
     for token in _TOKEN.finditer(page):
         text, tag = token["text"], token["tag"]
         if text is not None:
-            if not out:
-                parts.append(text)
+            if not unseen:
+                (beside if out else parts).append(text)
             continue
         if tag is None:
             continue
@@ -118,6 +130,7 @@ def lines_of(page: str) -> list[Line]:
                     name, means = stack.pop()
                     out -= means < 0
                     inside -= means > 0
+                    unseen -= name in UNSEEN
                     if name == tag:
                         break
         elif tag not in VOID:
@@ -129,6 +142,7 @@ def lines_of(page: str) -> list[Line]:
                 stack.append((tag, means))
                 out += means < 0
                 inside += means > 0
+                unseen += tag in UNSEEN
     flush()
     return lines
 
@@ -172,20 +186,45 @@ def _common(a: str | None, b: str | None) -> int:
     return size
 
 
-def _cut(markup: bool):
-    line = pa.struct([("hash", pa.int64()), ("text", pa.string())])
+def _lines(markup: bool, page: str | None) -> list[tuple[str, int]]:
+    return marked_lines(page or "") if markup else [(text, 0) for text in all_lines(page or "")]
+
+
+def _ordered_pages(markup: bool):
+    """Host, path and key of the pages that can have a neighbour."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = [bool(host) and bool(_lines(markup, page)) for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True)]
+        return batch.select(_ORDER).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def _cut(markup: bool, blocks: int, firsts: list[tuple[str, ...]], lasts: list[tuple[str, ...]]):
+    """Lines of pages, dealt to blocks. The first and last page of a block also go to the block beside it."""
+    begin, end = ({place: k for k, place in enumerate(places)} for places in (firsts, lasts))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, undecided = [], []
-        for page in batch.column("html").to_pylist():
-            lines = lines_of(page or "") if markup else [(t, False) for t in all_lines(page or "")]
-            text = " ".join(t for t, inside in lines if inside)
-            texts.append(text)
-            undecided.append([] if text else [{"hash": line_hash(t), "text": t} for t, _ in lines])
-        kept = [name for name in batch.schema.names if name != "html"]
+        rows, block, extra, every, said = [], [], [], [], []
+        for k, (host, path, key, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*_ORDER, "html")), strict=True)):
+            lines, place = _lines(markup, page), (host, path, key)
+            if not host or not lines:
+                places = [int(key[:8], 16) % blocks]
+            else:
+                own = max(bisect.bisect_right(firsts, place) - 1, 0)
+                places = [own, *[own - 1] * (begin.get(place, 0) > 0), *[own + 1] * (place in end and own + 1 < len(firsts))]
+            for at, where in enumerate(places):
+                rows.append(k)
+                block.append(where)
+                extra.append(at > 0)
+                every.append([text for text, _ in lines])
+                said.append([says for _, says in lines])
+        held = batch.select([name for name in batch.schema.names if name != "html"]).take(pa.array(rows, pa.int64()))
+        hosts = [host if texts else "" for host, texts in zip(held.column("host").to_pylist(), every, strict=True)]  # nobody's neighbour
+        held = held.set_column(held.schema.get_field_index("host"), "host", pa.array(hosts, pa.string()))
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(name) for name in kept], pa.array(texts, pa.string()), pa.array(undecided, pa.list_(line))],
-            names=[*kept, "text", "lines"],
+            [*held.columns, pa.array(block, pa.int32()), pa.array(extra, pa.bool_()), pa.array(every, pa.list_(pa.string())), pa.array(said, pa.list_(pa.int8()))],
+            names=[*held.schema.names, "block", "extra", "texts", "says"],
         )
 
     return run
@@ -202,23 +241,47 @@ def all_lines(page: str) -> list[str]:
     return [line for part in "".join(pieces).split("\0") if (line := " ".join(html.unescape(part).split()))]
 
 
-def _deleted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    kept = []
-    for row in batch.to_pylist():
-        near = [
-            (_common(row["path"], row[f"{side}_path"]), row[f"{side}_lines"] or [])
-            for side in ("prev", "next")
-            if row["host"] and row[f"{side}_host"] == row["host"]
-        ]
-        own = row["hashes"]
-        gone = shared_lines(own, max(near, key=lambda x: x[0])[1]) if near else set()
-        kept.append([k for k in range(len(own)) if k not in gone] if len(gone) < len(own) else list(range(len(own))))
-    return pa.RecordBatch.from_arrays([batch.column("n"), pa.array(kept, pa.list_(pa.int32()))], names=["n", "kept"])
+def _main_text(row: dict, beside: Sequence[dict | None]) -> str:
+    """The lines that stay. Lines shared with the neighbour go; then markup is heard."""
+    near = [
+        (_common(row["path"], other["path"]), other["key"] == row["key"], other["hashes"])
+        for other in beside
+        if other and row["host"] and row["texts"] and (other["block"], other["host"]) == (row["block"], row["host"])
+    ]
+    gone = shared_lines(row["hashes"], max(near, key=lambda x: x[:2])[2]) if near else set()
+    lines = list(zip(row["texts"], row["says"], strict=True))
+    left = [text for k, (text, says) in enumerate(lines) if says > 0 or says == 0 and k not in gone]
+    return " ".join(left or [text for text, says in lines if says == 0])
+
+
+def _differenced(names: list[str]):
+    """Main texts of pages that come in order: each is held until the one after it is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple[dict, str]], schema: pa.Schema) -> pa.RecordBatch:
+            held = [pa.array([row[name] for row, _ in rows], schema.field(name).type) for name in names]
+            return pa.RecordBatch.from_arrays([*held, pa.array([text for _, text in rows], pa.string())], names=[*names, "text"])
+
+        before, row, schema = None, None, None
+        for batch in batches:
+            schema, found = batch.schema, []
+            for place in range(batch.num_rows):
+                after = batch.slice(place, 1).to_pylist()[0]
+                after["hashes"] = [line_hash(text) for text in after["texts"]]
+                if row is not None and not row["extra"]:
+                    found.append((row, _main_text(row, (before, after))))
+                before, row = row, after
+            if found:
+                yield made(found, schema)
+        if row is not None and not row["extra"]:
+            yield made([(row, _main_text(row, (before, None)))], schema)
+
+    return run
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """``rows`` with their place ``pos`` in the order of host, path and number."""
-    order = ["host", "path", "n"]
+    """``rows`` with their place ``pos`` in the order of host, path and key."""
+    order = _ORDER
     placed = stored(
         rows.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
@@ -231,41 +294,31 @@ def _positions(rows: DataFrame) -> DataFrame:
     return placed.join(starts, "part").withColumn("pos", F.col("start") + F.col("i")).drop("part", "i", "start")
 
 
-def extract(pages: DataFrame, markup: bool = True) -> DataFrame:
+def extract(pages: DataFrame, markup: bool = True, size: int = PAGES) -> DataFrame:
     """``page_id``, ``url``, main ``text`` and its length ``n_chars`` of every page."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     address = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
+    html_text = F.col("html").cast("string")
+    known = [F.coalesce(F.col("page_id").cast("string"), F.lit("null")), url, F.coalesce(html_text, F.lit(""))]
     rows = pages.select(
         "page_id",
         "url",
         F.lower(F.regexp_extract(url, address, 1)).alias("host"),
         F.regexp_replace(F.regexp_extract(url, address, 2), r"(\.html?|/)$", "").alias("path"),
-        F.col("html").cast("string").alias("html"),
+        F.md5(F.concat_ws("\0", *known)).alias("key"),
+        html_text.alias("html"),
     )
-    schema = rows.drop("html").schema.add("text", "string")
-    every = by_batch(rows, _cut(markup), _with_lines(schema))
-    # only pages that markup leaves open are stored; the others are cut again as they are read
-    cut = stored(every.where(F.size("lines") > 0).withColumn("n", F.monotonically_increasing_id()), "pages")
-    open_pages = cut.select("n", "host", "path", F.col("lines.hash").alias("hashes"))
-    placed = stored(_positions(open_pages), "positions")
-    near = placed
-    for side, step in (("prev", 1), ("next", -1)):
-        other = placed.select(
-            (F.col("pos") + step).alias("pos"),
-            F.col("host").alias(f"{side}_host"),
-            F.col("path").alias(f"{side}_path"),
-            F.col("hashes").alias(f"{side}_lines"),
-        )
-        near = near.join(other, "pos", "left")
-    kept = by_batch(near.drop("pos"), _deleted, "n long, kept array<int>")
-    left = F.array_join(F.transform("kept", lambda k: F.get("lines", k)["text"]), " ")
-    decided = every.where(F.size("lines") == 0).select("page_id", "url", "text")
-    compared = cut.join(kept, "n").select("page_id", "url", left.alias("text"))
-    return decided.unionByName(compared).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def _with_lines(schema):
-    return StructType(schema.fields + StructType.fromDDL("lines array<struct<hash:bigint,text:string>>").fields)
+    ordered = by_batch(rows, _ordered_pages(markup), "host string, path string, key string")
+    placed = stored(_positions(ordered.distinct()), "positions")
+    place = F.col("pos") % size
+    # the first and last page of every block, a few for each task
+    edges = placed.where((place == 0) | (place == size - 1)).select(*_ORDER, (place == 0).alias("first"), (place == size - 1).alias("last")).collect()
+    firsts, lasts = (sorted((e["host"], e["path"], e["key"]) for e in edges if e[side]) for side in ("first", "last"))
+    blocks = max(len(firsts), -(-rows.count() // size), 1)
+    schema = StructType(rows.drop("html").schema.fields + StructType.fromDDL(_LINES).fields)
+    dealt = by_batch(rows, _cut(markup, blocks, firsts, lasts), schema).repartition(blocks, "block").sortWithinPartitions("block", *_ORDER)
+    told = StructType([rows.schema["page_id"], rows.schema["url"]]).add("text", "string")
+    return dealt.mapInArrow(_differenced(["page_id", "url"]), told).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -321,6 +321,25 @@ def test_shared_lines_go_where_markup_says_nothing(spark):
     assert got[13] == got[14] == whole.format(1)  # a copy keeps its lines
 
 
+def test_pages_with_an_article_are_differenced_too(spark):
+    def page(k):
+        return f"<nav>Menu</nav><div>Site of news</div><article><p>Story {k}</p><p>Same words</p></article><div>More on {k}</div><div>Imprint</div>"
+
+    rows = [(k, f"http://a.example/news/{k}", page(k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} Same words More on {k}" for k in range(4)}
+
+
+def test_pages_meet_across_blocks(spark):
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k:02d}", f"<div>Top {k % 2}</div><div>Story {k}</div><div>{'' if k % 7 else 'Odd'}</div>") for k in range(30)]
+    rows += [*rows[4:6], (40, None, "<p>x"), (41, "http://a.example/05", None)]
+    web = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = sorted(map(tuple, pages.extract(web).collect()))
+    assert len(whole) == len(rows) and [r[2] for r in whole][:2] == ["Story 0 Odd", "Story 1"]
+    for size in (1, 2, 5):
+        assert sorted(map(tuple, pages.extract(web, size=size).collect())) == whole
+
+
 def test_markup_that_is_not_the_article():
     page = """<body><header>Site</header><nav>Menu</nav><main><article><h1>Title</h1><p title='a>b'>One <b>two</b><br>three
     <aside>Side</aside><div class="share-buttons">Share</div><p>Four<script>var a="</p>";</script></article>
