@@ -9,7 +9,8 @@ place follows from the token's offset and must lie within the document (length a
 position bounds). It is kept if all tokens of the window occur at their places, which
 is exact containment, as a window is given by its tokens in order.
 
-Column expressions only. The look-up compares hashes first, then the words themselves.
+Column expressions only. Cutting texts into words is what costs most, so it is done once: a report
+stores the words. The look-up compares hashes first, then the words themselves.
 The hashes of the benchmark's tokens are broadcast if there are no more than
 ``BROADCAST_TOKENS``, by count; beyond that the join is left to Spark, which shuffles.
 Whatever is gathered for a document is bounded by its length.
@@ -67,7 +68,8 @@ def _token_hash(words: list[Column]) -> Column:
 
 def _occurrences(docs: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
     """Where ``tokens`` of ``size`` words occur in the documents."""
-    placed = docs.select("key", F.col("words"), F.size("words").alias("length"), F.posexplode("words").alias("pos", "first"))
+    # outer: else the optimizer adds filters on the array below, which cut the text into words again for each of them
+    placed = docs.select("key", F.col("words"), F.size("words").alias("length"), F.posexplode_outer("words").alias("pos", "first"))
     after = [F.get("words", F.col("pos") + k).alias(f"w{k}") for k in range(1, size)]
     parts = [F.col("first"), *[F.col(f"w{k}") for k in range(1, size)]]
     runs = placed.select("key", "length", "pos", "first", *after).where(F.col("pos") <= F.col("length") - size)
@@ -151,7 +153,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Every document's words, words hit and items."""
-    keyed = docs.select("doc_id", row_key().alias("key"), words_of(text_of()).alias("words"))
+    keyed = stored(docs.select("doc_id", row_key().alias("key"), words_of(text_of()).alias("words")), "words")
     found = stored(hits(keyed.select("key", "words"), items), "hits")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -557,3 +557,14 @@ def test_odd_documents_through_the_stages(spark):
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert clean.where("text = 'short text with mail [EMAIL]'").count() == 1 and clean.where("text IS NULL").count() == 2
     assert repeats.remove(docs).count() == docs.count()
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Filters on the exploded words used to cut the text again, three times in all, and counting words once more."""
+    docs = odd_documents(spark)
+    words = decontaminate.words_of(decontaminate.text_of()).alias("words")
+    tokens = spark.createDataFrame([("word7 word8",)], "token string")
+    found = decontaminate._occurrences(docs.select(decontaminate.row_key().alias("key"), words), tokens, 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    report = decontaminate.report(docs, spark.createDataFrame([(2, "word7 word8")], "item_id long, text string"))
+    assert "regexp_extract_all" not in report._jdf.queryExecution().optimizedPlan().toString()
