@@ -8,6 +8,7 @@ from siftrank.functions import text as T
 from siftrank.functions.lengths import quantised_length
 from siftrank.functions.stems import with_stems
 from siftrank.operators import analyze as A
+from siftrank.sources.tables import load_by
 
 
 def column(spark, expr, value, type="string"):
@@ -115,3 +116,14 @@ def test_quantised_lengths(spark):
     df = spark.createDataFrame([(n,) for n in want], "n long")
     got = {r.n: r.q for r in df.select("n", quantised_length(F.col("n")).alias("q")).collect()}
     assert got == want
+
+
+def test_partitions_follow_the_text(spark, tmp_path):
+    """They used to be merged by their size as text, however many rows a task then made of them."""
+    rows = [(i, "word " * 20) for i in range(1000)] + [(None, "x"), (7, None), (7, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    dealt = load_by(spark, str(tmp_path), "documents", "doc_id", part=5_000)
+    assert dealt.rdd.getNumPartitions() == 21  # 100,006 bytes
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, spark.createDataFrame(rows, dealt.schema).collect()))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none.parquet")
+    assert load_by(spark, str(tmp_path), "none", "doc_id").count() == 0
