@@ -63,9 +63,11 @@ def remove_stop_words(tokens: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Stop filter for a list held as a DataFrame (one column, ``term``).
 
     Positions count the tokens kept, as with a list in the analyzer; the window
-    that counts them holds one document at a time.
+    that counts them holds one document at a time. The list is stored, so that Spark knows its size: below the
+    broadcast threshold tokens stay where their documents lie and are not shuffled by term.
     """
-    kept = tokens.join(stop_words.select("term").distinct(), "term", "left_anti")
+    words = write_and_reload(stop_words.select("term").distinct(), "stop-words")
+    kept = tokens.join(words, "term", "left_anti")
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1
     return kept.withColumn("pos", place)
 

@@ -127,3 +127,12 @@ def test_partitions_follow_the_text(spark, tmp_path):
     assert sorted(map(str, dealt.collect())) == sorted(map(str, spark.createDataFrame(rows, dealt.schema).collect()))
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none.parquet")
     assert load_by(spark, str(tmp_path), "none", "doc_id").count() == 0
+
+
+def test_tokens_are_not_shuffled_for_a_stop_list(spark):
+    """A list of unknown size used to plan a shuffle of all tokens by term, and another back by document."""
+    tokens = spark.createDataFrame([(d, p, t) for d in (1, 2) for p, t in enumerate("a the b the c".split())], "doc_id long, pos int, term string")
+    kept = A.remove_stop_words(tokens, spark.createDataFrame([("the",), ("the",), (None,)], "term string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.doc_id, r.pos, r.term) for r in kept.collect()) == [(d, p, t) for d in (1, 2) for p, t in enumerate("abc")]
