@@ -51,12 +51,13 @@ def raw_postings(arrays: DataFrame, stem: bool = False) -> DataFrame:
     return stemmed_postings(counts) if stem else counts
 
 
-def stemmed_postings(counts: DataFrame) -> DataFrame:
+def stemmed_postings(counts: DataFrame, parts: int | None = None) -> DataFrame:
     """Counts of terms as counts of stems. The vocabulary alone is stemmed, and what
-    is joined and summed again is a document's distinct terms, not its tokens."""
-    stems = stem_vocabulary(counts)
+    is joined and summed again is a document's distinct terms, not its tokens. With ``parts`` the
+    sums come dealt out by document, and are made after that one shuffle."""
+    joined = counts.join(stem_vocabulary(counts), "term", "left")
     return (
-        counts.join(stems, "term", "left").groupBy(F.col("stem").alias("term"), "doc_id", "dl")
+        (joined if parts is None else joined.repartition(parts, "doc_id")).groupBy(F.col("stem").alias("term"), "doc_id", "dl")
         .agg(F.sum("tf").alias("tf"), F.max("lead").alias("lead"))
     )
 
