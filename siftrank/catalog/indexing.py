@@ -131,7 +131,7 @@ def _by_source(spark, folder) -> dict[str, X.Index]:
             for lang in _LANGUAGES
         },
     )
-    rest = docs.where(~F.col("lang").isin(list(_LANGUAGES)) | F.col("lang").isNull())
+    rest = I.documents(spark, folder).where(~F.col("lang").isin(list(_LANGUAGES)) | F.col("lang").isNull())
     return {**stored, "other": X.build_index(rest)}
 
 
