@@ -11,7 +11,7 @@ from siftrank.functions import models
 from siftrank.operators import search as S
 from siftrank.session import scratch_path
 from siftrank.sources import files, sinks
-from siftrank.sources.tables import load
+from siftrank.sources.tables import load, parts_of
 
 CATALOG = Catalog()
 
@@ -148,4 +148,5 @@ def read_ratings(spark, folder):
     I.ratings(spark, folder).select("user_id", "item_id", "rating", F.lit(0)).write.csv(
         path, sep="\t"
     )
-    return latest_ratings(files.read_ratings(spark, path))
+    events = files.read_ratings(spark, path)
+    return latest_ratings(events, parts=parts_of(spark, I.ratings(spark, folder).count()))
