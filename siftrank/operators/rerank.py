@@ -29,6 +29,8 @@ CHUNK = 500_000
 COLUMNS = 1024
 OFTEN = 12
 PAIRS = 4_000_000
+#: Rows of a topic's vectors that are multiplied at a time.
+SLICE = 500_000
 
 
 def _term_numbers(terms: pa.ChunkedArray) -> np.ndarray:
@@ -162,18 +164,28 @@ class _Vectors:
         self.places, self.term, self.tf = places[order], term[order], tf[order]
         self.begins = np.searchsorted(self.places, np.arange(n + 1))
         self.sizes = np.diff(self.begins).astype(np.float64)
-        sums, squares = np.bincount(places, tf, n), np.bincount(places, tf * tf, n)
+        sums, squares = np.zeros(n), np.zeros(n)
+        for part in self._slices():  # sums of whole numbers are the same however they are cut
+            of, counts = self.places[part], self.tf[part].astype(np.float64)
+            sums += np.bincount(of, counts, n)
+            squares += np.bincount(of, counts * counts, n)
         self.mu = np.divide(sums, self.sizes, out=np.zeros(n), where=self.sizes > 0)
         self.spread = squares - self.sizes * self.mu**2
         self.n, self.width, self.decimals = n, int(term.max(initial=-1)) + 1, decimals
 
+    def _slices(self) -> list[slice]:
+        return [slice(s, s + SLICE) for s in range(0, len(self.places), SLICE)]
+
     def with_all(self, place: int) -> np.ndarray:
         """Correlations of one document with all; 0 where none is defined."""
         own = slice(self.begins[place], self.begins[place + 1])
         dense, present = np.zeros(self.width), np.zeros(self.width)
         dense[self.term[own]], present[self.term[own]] = self.tf[own], 1.0
-        dot = np.bincount(self.places, self.tf * dense[self.term], self.n)
-        shared = np.bincount(self.places, present[self.term], self.n)
+        dot, shared = np.zeros(self.n), np.zeros(self.n)
+        for part in self._slices():
+            of, term = self.places[part], self.term[part]
+            dot += np.bincount(of, self.tf[part] * dense[term], self.n)
+            shared += np.bincount(of, present[term], self.n)
         mu = self.mu[place]
         cov = dot - mu * self.mu * shared
         var_a = self.spread[place] + mu**2 * (self.sizes - shared)
@@ -277,14 +289,15 @@ def greedy_over(
     def one_topic(hit_rows: pa.Table, vector_rows: pa.Table) -> pa.Table:
         work = hit_rows.to_pandas().sort_values("rank", kind="stable").reset_index(drop=True)
         ranks = work["rank"].to_numpy()
-        places = np.searchsorted(ranks, vector_rows["of_rank"].to_numpy())
-        term = _term_numbers(vector_rows["term"]) if vector_rows.num_rows else np.zeros(0, np.int64)
-        vectors = _Vectors(places, term, vector_rows["tf"].to_numpy().astype(np.float64), len(work), decimals)
+        places = np.searchsorted(ranks, vector_rows["of_rank"].to_numpy()).astype(np.int32)
+        term = _term_numbers(vector_rows["term"]) if vector_rows.num_rows else np.zeros(0, np.int32)
+        vectors = _Vectors(places, term, vector_rows["tf"].to_numpy(), len(work), decimals)
         made = _fixed_in_turn(work, vectors.with_all, weight, objective, steps)[columns]
         return pa.Table.from_pandas(made, hit_rows.schema, preserve_index=False)
 
     rows, _ = _hit_vectors(hits, index)
-    vectors = rows.select(F.col("topic_id").alias("of_topic"), F.col("rank").alias("of_rank"), "term", "tf")
+    counts = F.col("tf").cast("int").alias("tf")
+    vectors = rows.select(F.col("topic_id").alias("of_topic"), F.col("rank").alias("of_rank"), "term", counts)
     return hits.groupBy("topic_id").cogroup(vectors.groupBy("of_topic")).applyInArrow(one_topic, hits.schema)
 
 

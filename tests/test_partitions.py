@@ -102,3 +102,25 @@ def test_judgements_count_before_they_meet_labels(spark, tmp_path):
     made = inputs.judgements(spark, str(tmp_path))
     # a document whose label comes twice counts twice, as rows of matches with labels do
     assert sorted(made.collect(), key=str) == sorted([(5, 1, True), (5, 2, False), (5, 3, True), (6, 3, True), (6, 3, None)], key=str)
+
+
+def test_vectors_are_multiplied_in_slices(monkeypatch):
+    import numpy as np
+
+    from siftrank.operators import rerank
+
+    g = np.random.default_rng(5)
+    places, term, tf = (g.integers(0, top, 500).astype(np.int32) for top in (20, 90, 6))
+    whole = rerank._Vectors(places, term, tf + 1, 20, 9)
+    sizes, multiply = [], np.bincount
+
+    def watched(x, *args, **how):
+        sizes.append(len(x))
+        return multiply(x, *args, **how)
+
+    expected = [whole.with_all(i) for i in range(20)]
+    monkeypatch.setattr(rerank, "SLICE", 64)
+    monkeypatch.setattr(rerank.np, "bincount", watched)
+    cut = rerank._Vectors(places, term, tf + 1, 20, 9)
+    assert all((cut.with_all(i) == expected[i]).all() for i in range(20))
+    assert max(sizes) <= 64 and cut.places.itemsize == 4
