@@ -230,3 +230,38 @@ def test_lists_to_all_make_rows_without_ordering_them(spark, sparse):
     plan = R.ranked_lists(known, targets=ids[0], others=ids[1])._jdf.queryExecution().executedPlan().toString()
     top = plan.split("+- Generate posexplode")[0]
     assert "Union" in top and "Window" not in top and "rangepartitioning" not in plan
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Two groups that share no items, one of much larger ids, a user who rates all alike and one without links."""
+    rng = random.Random(12)
+    rows = [
+        (1000 * g + u, 5000 * g + i, float(rng.randint(1, 5)))
+        for g in range(2) for u in range(30) for i in range(60) if rng.random() < 0.12
+    ]
+    rows += [(500, i, 3.0) for i in range(5)] + [(501, 777, 4.0), (501, 778, 2.0)]
+    return stored(spark.createDataFrame(rows, "user_id long, item_id long, rating double"))
+
+
+@pytest.mark.parametrize("tries, how", [((4, 9), {}), ((200,), {"heavy": 6})])
+def test_candidates_give_the_best_of_all(crowd, tries, how):
+    for by, name in ((R.user_similarities, "user"), (R.item_similarities, "item")):
+        similar = stored(by(crowd, 0.0, decimals=6))
+        recommend = getattr(R, f"recommend_{name}_based")
+        every = recommend(crowd, similar, top=None, k=3, decimals=6).where("rank <= 4").collect()
+        got = recommend(crowd, similar, top=4, k=3, decimals=6, block=(20, 50), tries=tries, small=0, **how).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, every))
+
+
+@pytest.mark.parametrize("name", ["user", "item"])
+def test_whole_lists_need_no_blocks(crowd, name, monkeypatch):
+    """Every user used to be paired with every item, so rows and disk grew with their product."""
+    from siftrank.operators import neighbourhood
+
+    paired = []
+    blocks = neighbourhood._best_by_blocks
+    monkeypatch.setattr(neighbourhood, "_best_by_blocks", lambda r, means, *rest: paired.append(means.count()) or blocks(r, means, *rest))
+    similar = stored(getattr(R, f"{name}_similarities")(crowd, 0.0, decimals=6))
+    got = getattr(R, f"recommend_{name}_based")(crowd, similar, top=4, decimals=6, small=0)
+    assert got.count() == 4 * crowd.select("user_id").distinct().count() and paired == []
