@@ -49,6 +49,21 @@ def test_short_cuts_equal_the_literal_default_fill(spark, index, model):
     assert fast == pytest.approx(slow, abs=1e-9)
 
 
+@pytest.mark.parametrize("model", [M.risk_adjusted(2.0), M.risk_adjusted_plain(0.0), M.risk_adjusted_plain(0.5)], ids=["logit", "plain", "penalised"])
+def test_documents_without_a_term_have_no_default(spark, corpus, model):
+    """Their length, 0, used to get a default like any other, which divided by it."""
+    from siftrank.session import scratch_path
+    from siftrank.sources.index_store import index_documents
+
+    odd = corpus.unionByName(spark.createDataFrame([(5, "12 - 3"), (6, "")], corpus.schema))
+    index = index_documents(odd, scratch_path(spark, "odd"), buckets=2)
+    terms = spark.createDataFrame([(1, "red", 2), (1, "fox", 1)], "topic_id long, term string, qtf long")
+    got = {r.doc_id: r.score for r in S.score(index, terms, model).collect()}
+    slow = {r.doc_id: r.score for r in S.score_by_filling(index, terms, model).collect()}
+    assert got.keys() == {1, 2, 3, 4} and got == pytest.approx(slow, abs=1e-9)
+    assert S.search(index, terms, model, k=2).count() == 2
+
+
 def test_unknown_terms_add_nothing(spark, index, query):
     more = query.unionByName(spark.createDataFrame([(1, "zebra", 5)], query.schema))
     a = {r.doc_id: r.score for r in S.score(index, query, M.dirichlet()).collect()}
