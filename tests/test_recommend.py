@@ -265,3 +265,67 @@ def test_whole_lists_need_no_blocks(crowd, name, monkeypatch):
     similar = stored(getattr(R, f"{name}_similarities")(crowd, 0.0, decimals=6))
     got = getattr(R, f"recommend_{name}_based")(crowd, similar, top=4, decimals=6, small=0)
     assert got.count() == 4 * crowd.select("user_id").distinct().count() and paired == []
+
+
+def pairs_by_hand(rows, who):
+    """Similarities of all pairs, cell by cell; what is not known adds nothing."""
+    rows = [r for r in rows if r[0] is not None]
+    known = lambda u: [r for x, _, r in rows if x == u and r is not None]
+    mean = {u: sum(known(u)) / len(known(u)) for u, _, _ in rows if known(u)}
+    cells = [((u, i)[who], (u, i)[1 - who], None if r is None else r - mean[u]) for u, i, r in rows]
+    sums = {}
+    for a, v, x in cells:
+        for b, v2, y in cells:
+            if v == v2 and a < b:
+                total = sums.setdefault((a, b), [0.0, 0.0, 0.0])
+                for k, (p, q) in enumerate(((x, y), (x, x), (y, y))):
+                    total[k] += 0.0 if p is None or q is None else p * q
+    return {pair: d / (p**0.5 * q**0.5) for pair, (d, p, q) in sums.items() if min(abs(d), p, q) >= 1e-9}
+
+
+@pytest.mark.parametrize("pairs", [500, 10**6])
+def test_lists_are_ordered_where_pairs_are_added_up(spark, sparse, pairs):
+    """Every pair used to be written, then shuffled twice more to be put in order."""
+    odd = sparse.unionByName(spark.createDataFrame([(3, 5, None), (3, 6, 1.0), (-7, 4, 2.0), (-7, 5, 3.0), (None, 5, 1.0)], sparse.schema))
+    for who, by in enumerate((R.user_similarities, R.item_similarities)):
+        lists = R.similarity_lists(by(odd, decimals=6, lists=True, pairs=pairs))
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning(one" not in plan
+        hand = pairs_by_hand([tuple(r) for r in odd.collect()], who)
+        assert edges(by(odd, pairs=pairs)) == pytest.approx(hand)
+        want = R.similarity_lists(stored(by(odd, decimals=6))).collect()
+        assert len(want) == 2 * len(hand) and sorted(map(tuple, lists.collect())) == sorted(map(tuple, want))
+        assert R.similarity_lists(lists, 3).count() == sum(r["rank"] <= 3 for r in want)
+        crowded = [R.similarity_lists(by(sparse, decimals=6, heavy=heavy, lists=True)) for heavy in (12, 10**6)]
+        assert sorted(map(tuple, crowded[0].collect())) == sorted(map(tuple, crowded[1].collect()))
+
+
+def test_packed_profiles_come_back():
+    import numpy as np
+
+    from siftrank.operators.packed import half_up, pack, unpack
+
+    sizes, ids = np.array([3, 1, 2]), np.array([-5, 0, 70_000, 8, 1, 1 << 40])
+    rs, ms = np.array([1.0, 5.0, np.nan, 1.0, 2.0, 1.0]), np.array([0.1, 0.1, 0.1, 2.0, -1e300, 0.3])
+    got = unpack(*pack(sizes, ids, rs, ms))
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, (sizes, ids, rs, ms), strict=True))
+    assert half_up(np.array([0.0000005, 0.1234565, -0.1234565, -0.0000001, 0.5]), 6).tolist() == [0.000001, 0.123457, -0.123457, 0.0, 0.5]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, so a query had those of all its steps."""
+    import time
+
+    jvm = spark.sparkContext._jvm
+    files = lambda: {f for f in map(str, _listed(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if "shuffle_" in f}
+    before = files()
+    kept = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7
+
+
+def _listed(found):
+    return [found.apply(i) for i in range(found.length())]
