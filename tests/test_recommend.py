@@ -309,6 +309,8 @@ def test_packed_profiles_come_back():
     rs, ms = np.array([1.0, 5.0, np.nan, 1.0, 2.0, 1.0]), np.array([0.1, 0.1, 0.1, 2.0, -1e300, 0.3])
     got = unpack(*pack(sizes, ids, rs, ms))
     assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, (sizes, ids, rs, ms), strict=True))
+    sims = np.array([0.123457, -1.0, 0.5, 0.000001, 0.9, 0.7])
+    assert np.array_equal(unpack(*pack(sizes, ids, sims))[2], sims) and pack(sizes, ids, sims)[0][5] == 1
     assert half_up(np.array([0.0000005, 0.1234565, -0.1234565, -0.0000001, 0.5]), 6).tolist() == [0.000001, 0.123457, -0.123457, 0.0, 0.5]
 
 
